@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.shared import Workspace
 from quern.llm.text import slices
-from quern.llm.tokens import WORD_BPE, ChunkEncoder
+from quern.llm.tokens import WORD_BPE, chunk_encoder
 
 #: Items of one task in the rounds after the first.
 ROUND_ITEMS = 100_000
@@ -38,7 +38,7 @@ def token_pieces(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", t
     src = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = chunk_encoder(tokenizer)
         for b in slices(batches, "text"):
             ids, n = encoder.encode(b.column(1))
             ids = np.insert(ids, np.cumsum(n), end_id).astype("<u4")

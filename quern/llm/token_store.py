@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.shared import Workspace, replace_file
 from quern.llm.text import slices
-from quern.llm.tokens import BYTE_BPE, ChunkEncoder
+from quern.llm.tokens import BYTE_BPE, chunk_encoder
 
 MAGIC = b"DACIDS01"
 BLOCK = 512
@@ -128,7 +128,7 @@ def write_tokens(df: DataFrame, ws: Workspace, *, doc_id: str = "doc_id", text:
     src = src.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = chunk_encoder(tokenizer)
         part = TaskContext.get().partitionId()
         docs, nulls, counts, ids, held, rows = [], [], [], [], 0, []
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +174,12 @@ class ChunkEncoder:
         return ids, counts
 
 
+@cache
+def chunk_encoder(name: str = BYTE_BPE) -> ChunkEncoder:
+    """One encoder a worker process: its memory of chunks outlives a task."""
+    return ChunkEncoder(name)
+
+
 class RankMerger:
     """Byte-level BPE counts by rank-synchronous merging.
 
@@ -331,6 +338,11 @@ class RankMerger:
         return counts
 
 
+@cache
+def rank_merger(name: str = BYTE_BPE) -> RankMerger:
+    return RankMerger(name)
+
+
 def token_counts(df: DataFrame, *, text: str = "text", tokenizer: str = BYTE_BPE, limit: int = 1024) -> DataFrame:
     """Add ``n_bytes``, ``n_tokens``, ``over_limit`` to every row; other columns stay.
 
@@ -344,7 +356,7 @@ def token_counts(df: DataFrame, *, text: str = "text", tokenizer: str = BYTE_BPE
     schema = src.withColumns({"n_bytes": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long"), "over_limit": F.lit(False)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = RankMerger(tokenizer)
+        merger = rank_merger(tokenizer)
         for b in slices(batches, text):
             col = b.column(at)
             n = merger.count(col)
