@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.chat_format import chat_digest, format_chats
 from quern.llm.decontaminate import contamination
+from quern.llm.lm_scoring import lm_scoring
+from quern.llm.near_dedup import near_duplicates
 from quern.llm.packing import pack_documents
 from quern.llm.quality_rules import quality_rules
 from quern.llm.token_store import token_store
@@ -19,6 +21,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring(_read(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -50,13 +56,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), size=3, num=85, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op4_token_store": op4_token_store,
     "op5_decontamination": op5_decontamination,
     "op6_chat_format": op6_chat_format,
     "op7_packing": op7_packing,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
