@@ -15,6 +15,7 @@ from quern.llm.packing import pack_documents
 from quern.llm.quality_rules import quality_rules
 from quern.llm.token_store import token_store
 from quern.llm.tokens import token_counts
+from quern.llm.toxicity import toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +57,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return got.withColumn("n_passages", F.size("passages").cast("long")).drop("passages")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), size=3, num=85, den=100)
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_chat_format": op6_chat_format,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op10_near_dedup": op10_near_dedup,
 }
 
