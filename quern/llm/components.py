@@ -26,18 +26,18 @@ def components(edges: DataFrame, ws: Workspace, name: str = "cc") -> DataFrame:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
         step = low.select(F.col("a").alias("c"), F.least(F.col("m"), rank("a"))["v"].alias("to"))
-        step = ws.keep(step, f"{name}-step{number}")
         twice = step.alias("s").join(step.alias("t"), F.col("s.to") == F.col("t.c")).select(F.col("s.c").alias("c"), F.col("t.to").alias("root"))
         twice = ws.keep(twice, f"{name}-to{number}")
         one, two = twice.select(F.col("c").alias("a"), F.col("root").alias("ra")), twice.select(F.col("c").alias("b"), F.col("root").alias("rb"))
         nxt = now.join(one, "a").join(two, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        if labels is None:
-            labels = twice
-        else:
-            moved = twice.select(F.col("c").alias("root"), F.col("root").alias("next"))
-            labels = labels.join(moved, "root", "left").select("c", F.coalesce("next", "root").alias("root"))
-            labels = ws.keep(labels, f"{name}-labels{number}")
+        labels = twice if labels is None else follow(labels, twice)
         now = ws.keep(nxt, f"{name}-edges{number}")
     if labels is None:
         return edges.sparkSession.createDataFrame([], f"c {kind}, root {kind}")
-    return labels
+    return ws.keep(labels, f"{name}-labels")
+
+
+def follow(labels: DataFrame, moved: DataFrame) -> DataFrame:
+    """(c, root) with roots renamed by ``moved(c, root)`` where it has them."""
+    step = moved.select(F.col("c").alias("root"), F.col("root").alias("next"))
+    return labels.join(step, "root", "left").select("c", F.coalesce("next", "root").alias("root"))

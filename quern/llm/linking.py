@@ -1,10 +1,11 @@
 """Links between sets from lists of candidates, and the components they form.
 
-A list holds sets that share a key.  Lists of up to ``SMALL`` members give all their
-pairs.  In a larger list a few centres, chosen anew for every list and round, meet the
-other members, so a group of n near copies costs a few n pairs a list, not n squared.
-A pair whose ends are already connected is never made.  Lists that still join several
-components after the first round are keyed anew by the exact prefix filter
+A list holds sets that share a key.  Lists of up to ``SMALL`` members give their pairs
+(at most ``SMALL / 2`` a member); a pair is made in the first list that both are in.  In a
+larger list a few centres, chosen anew for every list and round, meet the other
+members, so a group of n near copies costs a few n pairs a list, not n squared.
+A pair whose ends are already connected is not made.  Large lists that still hold
+several components after the first round are keyed anew by the exact prefix filter
 on whole sets (rarest members first): two sets above the threshold share a member of
 their prefixes, while sets whose own members fill their prefix leave the lists.  The
 rounds go on, with more centres each, until no list joins two components
@@ -13,74 +14,72 @@ with a member that has not met the others; so no link between components is lost
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.components import components
+from quern.llm.components import components, follow
 from quern.llm.shared import Workspace
 
-SMALL = 6
+SMALL = 48
 
 
-def jaccard_filter(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, sa, sb) with den * intersection >= num * union; sets are sorted uint64 bytes."""
+def prefix_lists(sets: DataFrame, ws: Workspace, num: int, den: int) -> DataFrame:
+    """Exact prefix-filter lists (key, c) of ``sets(c, set)``: rarest items first."""
+    items = sets.select("c", F.size("set").alias("n"), F.explode("set").alias("key"))
+    return rarest_first(items, ws, "prefix", lambda n: F.ceil(n * num / den))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, sa, sb = (batch.column(i) for i in range(4))
-            ok = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(sa.to_pylist(), sb.to_pylist())):
-                u, v = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                ok[i] = den * both >= num * (len(u) + len(v) - both)
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+def rarest_first(items: DataFrame, ws: Workspace, name: str, need: Callable[[Column], Column]) -> DataFrame:
+    """Lists (key, c) of ``items(c, n, key)``: of each c's n keys the n - need(n) + 1 rarest.
 
-
-def prefix_lists(sets: DataFrame, ws: Workspace, name: str, num: int, den: int) -> DataFrame:
-    """Exact prefix-filter lists (key, c) of ``sets(c, items)``: rarest items first."""
-    items = sets.select("c", F.size("items").alias("n"), F.explode("items").alias("key"))
+    ``items`` may leave keys out that no other c has: those are the rarest.
+    """
     often = items.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     shared = ws.keep(items.join(often, "key"), f"{name}-shared")
     by_set = Window.partitionBy("c")
     ranked = shared.withColumn("alone", F.col("n") - F.count("*").over(by_set)).withColumn("at", F.row_number().over(by_set.orderBy("df", "key")) + F.col("alone"))
-    # a set of n needs ceil(num * n / den) common items with any partner
-    return ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("key", "c")
+    return ranked.where(F.col("at") <= F.col("n") - need(F.col("n")) + 1).select("key", "c")
+
 
+def _lists(lists: DataFrame, comps: DataFrame | None, ws: Workspace, name: str) -> DataFrame:
+    """(key, c, root, n, keys) of lists that hold more than one component; keys: all of c's lists, sorted."""
+    if comps is not None:
+        lists = lists.join(comps, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    else:
+        lists = lists.withColumn("root", F.col("c"))
+    split = lists.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "n")
+    kept = ws.keep(lists.join(split, "key").select("key", "c", "root", "n"), f"{name}-split")
+    keys = kept.where(F.col("n") <= SMALL).groupBy("c").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    return ws.keep(kept.join(keys, "c", "left"), name)
 
-def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], ws: Workspace, *, num: int, den: int, estimate: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(components (c, root), links (a, b)) of the sets that ``lists(key, c)`` bring together.
 
-    ``sets_of(classes, name)`` gives (c, set binary) of the classes (c) that need verifying;
-    ``estimate`` may drop pairs (a, b) that cannot reach the threshold.
+def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], ws: Workspace, *, num: int, den: int, estimate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Components (c, root) of the sets that ``lists(key, c)`` bring together.
+
+    ``sets_of(classes, name)`` gives (c, set array<bigint>) of the classes (c) that need
+    verifying; ``estimate`` may drop pairs (a, b) that cannot reach the threshold.  Links join
+    sets with den * intersection >= num * union; classes without one have no row.
     """
-    spark = lists.sparkSession
-    kind = lists.schema["c"].dataType.simpleString()
-    links = spark.createDataFrame([], f"a {kind}, b {kind}")
-    comps = spark.createDataFrame([], f"c {kind}, root {kind}")
-    lists = lists.select("key", "c").distinct()
-    size = lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    now = ws.keep(lists.join(size, "key").select("key", "c", "n", F.col("c").alias("root")), "lists0")
-    tested = None
+    comps, tested = None, None
+    now = _lists(lists.select("key", "c").distinct(), None, ws, "lists0")
     for number in range(1, 40):
         if now.isEmpty():
             break
         small = now.where(F.col("n") <= SMALL)
-        x, y = small.select("key", F.col("c").alias("a"), F.col("root").alias("ra")), small.select("key", F.col("c").alias("b"), F.col("root").alias("rb"))
-        pairs = x.join(y, "key").where("a < b AND ra <> rb").select("a", "b")
-        large = now.where(F.col("n") > SMALL)
-        slot = F.pmod(F.xxhash64("c", "key", F.lit(number)), F.lit(min(2 ** number, 64)))
-        centre = large.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("c", "key").alias("h"), "c", "root")).alias("m")).select("key", F.col("m.c").alias("m"), F.col("m.root").alias("mr"))
-        centre = ws.keep(centre, f"centres{number}")
-        met = large.join(centre, "key").where("c <> m AND root <> mr").select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
-        pairs = pairs.unionByName(met).distinct()
+        x = small.select("key", F.col("c").alias("a"), F.col("root").alias("ra"), F.col("keys").alias("ka"))
+        y = small.select("key", F.col("c").alias("b"), F.col("root").alias("rb"), F.col("keys").alias("kb"))
+        first = F.element_at(F.array_intersect("ka", "kb"), 1) == x["key"]
+        pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & first).select("a", "b")
+        large = now.where(F.col("n") > SMALL).select("key", "c", "root")
+        any_large = not large.isEmpty()
+        if any_large:
+            slot = F.pmod(F.xxhash64("c", "key", F.lit(number)), F.lit(min(4 ** (number - 1) * 2, 128)))
+            centre = large.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("c", "key").alias("h"), "c", "root")).alias("m")).select("key", F.col("m.c").alias("m"), F.col("m.root").alias("mr"))
+            centre = ws.keep(centre, f"centres{number}")
+            met = large.join(centre, "key").where("c <> m AND root <> mr").select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b")).distinct()
+            pairs = pairs.unionByName(met).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = ws.keep(pairs, f"pairs{number}")
@@ -88,38 +87,31 @@ def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame],
         need = close.select(F.col("a").alias("c")).union(close.select(F.col("b").alias("c"))).distinct()
         sets = ws.keep(sets_of(need, f"need{number}"), f"sets{number}")
         full = close.join(sets.select(F.col("c").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("set").alias("sb")), "b")
-        links = ws.keep(links.unionByName(jaccard_filter(full, num, den)), f"links{number}")
-        comps = components(links, ws, f"cc{number}")
+        common = F.size(F.array_intersect("sa", "sb"))
+        found = full.where(den * common >= num * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+        if comps is None:
+            comps = components(found, ws, f"cc{number}")
+        else:  # only what joins components, by their roots
+            side = lambda v: comps.select(F.col("c").alias(v), F.col("root").alias(f"r{v}"))  # noqa: E731, B023
+            roots = found.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+            moved = components(roots, ws, f"cc{number}")
+            fresh = moved.join(comps, "c", "left_anti")
+            comps = ws.keep(follow(comps, moved).unionByName(fresh), f"comps{number}")
         ws.drop(f"sets{number}")
-        # small lists are done; in large ones the centres are
+        if not any_large:
+            break
         left = large.join(centre.select("key", F.col("m").alias("c")), ["key", "c"], "left_anti").select("key", "c")
-        left = left.join(comps, "c", "left").select("key", "c", F.coalesce("root", "c").alias("root"))
-        split = left.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "n")
-        left = left.join(split, "key").select("key", "c", "n", "root")
         if number == 1:
-            left = ws.keep(left, "left")
-            if not left.isEmpty():  # whole sets and the exact filter for what one key cannot part
-                members = sets_of(left.select("c").distinct(), "members")
-                members = ws.keep(_items(members), "members-items")
-                fresh = ws.keep(prefix_lists(members, ws, "prefix", num, den), "prefix")
-                size = fresh.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-                left = fresh.join(size, "key").join(comps, "c", "left").select("key", "c", "n", F.coalesce("root", "c").alias("root"))
-                split = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-                left = left.join(split, "key", "left_semi").select("key", "c", "n", "root")
+            left = _lists(left, comps, ws, "left")
+            if left.isEmpty():
+                break
+            # whole sets and the exact filter for what one key cannot part
+            members = ws.keep(sets_of(left.select("c").distinct(), "members"), "members-sets")
+            left = ws.keep(prefix_lists(members, ws, num, den), "prefix")
+            ws.drop("members-sets")
         tested = pairs if tested is None else ws.keep(tested.unionByName(pairs), f"tested{number}")
-        now = ws.keep(left, f"lists{number}")
-    return comps, links
-
-
-def _items(sets: DataFrame) -> DataFrame:
-    """(c, items array<long>) from (c, set binary)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = [np.frombuffer(x, "<i8") for x in b.column("set").to_pylist()]
-            offs = np.concatenate([[0], np.cumsum([len(x) for x in s])]).astype(np.int32)
-            flat = np.concatenate(s) if s else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("c"), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["c", "items"])
-
-    kind = sets.schema["c"].dataType.simpleString()
-    return sets.select("c", "set").mapInArrow(run, f"c {kind}, items array<bigint>")
+        now = _lists(left, comps, ws, f"lists{number}")
+    if comps is None:
+        kind = lists.schema["c"].dataType.simpleString()
+        return lists.sparkSession.createDataFrame([], f"c {kind}, root {kind}")
+    return comps

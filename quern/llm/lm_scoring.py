@@ -28,10 +28,10 @@ from functools import cached_property, lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.packed import BLOB, blobs, by_shard, pack_sorted, pack_values, send, sum_by_key, unpack_sorted, unpack_values
 from quern.llm.shared import Workspace, replace_file
 from quern.llm.text import slices, split_words, utf8
 
@@ -42,81 +42,6 @@ WORD_SHARDS = 64
 SHARD_TOKENS, MIN_SHARDS, MAX_SHARDS = 1_000_000, 64, 65_536
 #: Entries a counting task holds before it sends its blobs.
 HELD = 3_000_000
-BLOB = "shard int, keys binary, values binary"
-
-
-def pack_sorted(a: np.ndarray) -> bytes:
-    """Sorted unsigned integers: differences, byte planes, zstd."""
-    d = np.diff(a.astype(np.uint64), prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def unpack_sorted(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def pack_values(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def unpack_values(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
-
-
-def sum_by_key(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct keys, sums); ``values`` may have several columns."""
-    k, v = np.concatenate(keys), np.concatenate(values)
-    if not len(k):
-        return k, v
-    order = np.argsort(k, kind="stable")
-    k = k[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[first], np.add.reduceat(v[order], first, axis=0)
-
-
-def _blobs(shard: np.ndarray, keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-    """One blob a shard; ``keys`` are sorted, equal shards need not lie together."""
-    order = np.argsort(shard, kind="stable")
-    shard = shard[order]
-    cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-    for a, b in zip(cut, np.append(cut[1:], len(shard))):
-        at = order[a:b]
-        yield int(shard[a]), pack_sorted(keys[at]), pack_values(values[at].ravel())
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-
-BLOB_SCHEMA = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
-
-
-def _send(rows: Iterator[tuple], most: int = 256) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for r in rows:
-        held.append(r)
-        if len(held) == most:
-            yield _batch(held, BLOB_SCHEMA)
-            held = []
-    if held:
-        yield _batch(held, BLOB_SCHEMA)
-
-
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
-    """Groups of rows that are sorted by shard."""
-    now, keys, values = None, [], []
-    for b in batches:
-        for s, k, v in zip(*(b.column(i).to_pylist() for i in range(3))):
-            if s != now:
-                if now is not None:
-                    yield now, keys, values
-                now, keys, values = s, [], []
-            keys.append(k)
-            values.append(v)
-    if now is not None:
-        yield now, keys, values
 
 
 def _write(path: str, a: np.ndarray) -> None:
@@ -232,7 +157,7 @@ def _count_words(folder: str):
         def flush():
             k, v = sum_by_key(keys, values)
             keys.clear(), values.clear()
-            yield from _send(_blobs((k >> np.uint64(64 - WORD_SHARDS.bit_length() + 1)).astype(np.int64), k, v))
+            yield from send(blobs((k >> np.uint64(64 - WORD_SHARDS.bit_length() + 1)).astype(np.int64), k, v))
 
         for b in slices(batches, "text"):
             h, ids, n = word_hash_slice(b.column(0))
@@ -247,7 +172,7 @@ def _count_words(folder: str):
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for s, keys, values in _by_shard(batches):
+        for s, keys, values in by_shard(batches):
             k, c = sum_by_key([unpack_sorted(x) for x in keys], [unpack_values(x) for x in values])
             _write(os.path.join(folder, f"hash-{s:05d}"), k.astype("<u8"))
             _write(os.path.join(folder, f"count-{s:05d}"), c.astype("<i8"))
@@ -292,7 +217,7 @@ def _count_bigrams(folder: str):
             _, first = np.unique(ks, return_index=True)
             s = np.concatenate(shards)[first]
             keys.clear(), shards.clear(), values.clear()
-            yield from _send(_blobs(s, k, c))
+            yield from send(blobs(s, k, c))
 
         for b in slices(batches, "text"):
             k, s, c = _bigrams_of(model, b.column(0), False)
@@ -309,7 +234,7 @@ def _count_bigrams(folder: str):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = open_model(folder, "words")
         words = len(model.manifest["words"])
-        for s, keys, values in _by_shard(batches):
+        for s, keys, values in by_shard(batches):
             k, c = sum_by_key([unpack_sorted(x) for x in keys], [unpack_values(x) for x in values])
             _write(os.path.join(folder, f"bigram-{s:05d}"), k.astype("<u8"))
             _write(os.path.join(folder, f"bigram_count-{s:05d}"), np.minimum(c, 2**32 - 1).astype("<u4"))
@@ -319,10 +244,10 @@ def _count_bigrams(folder: str):
             # behind: kind 0; before: kind 1; both go to the shard of the word
             u2, n2 = np.unique(w2, return_counts=True)
             u1 = w1[first]
-            yield from _send(_blobs(np.searchsorted(model.base, u1, side="right") - 1, u1.astype(np.uint64), stat))
-            yield from _send(_blobs(np.searchsorted(model.base, u2, side="right") - 1 + words, u2.astype(np.uint64), n2))
+            yield from send(blobs(np.searchsorted(model.base, u1, side="right") - 1, u1.astype(np.uint64), stat))
+            yield from send(blobs(np.searchsorted(model.base, u2, side="right") - 1 + words, u2.astype(np.uint64), n2))
             # counts of counts, by the way: shard -1
-            yield from _send(iter([(-1, pack_sorted(np.arange(4)), pack_values(np.array(_counts_of_counts(c))))]))
+            yield from send(iter([(-1, pack_sorted(np.arange(4)), pack_values(np.array(_counts_of_counts(c))))]))
 
     return count, merge
 
@@ -332,7 +257,7 @@ def _merge_words(folder: str):
         model = open_model(folder, "words")
         words = len(model.manifest["words"])
         out = []
-        for s, keys, values in _by_shard(batches):
+        for s, keys, values in by_shard(batches):
             if s == -1:
                 k, v = sum_by_key([unpack_sorted(x) for x in keys], [unpack_values(x) for x in values])
                 out.append((s, *v.tolist(), 0, 0))
@@ -361,7 +286,7 @@ def train(df: DataFrame, ws: Workspace, *, text: str = "text") -> str:
     n_out = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     src = df.select(F.col(f"`{text}`").cast("string").alias("text"))
     count, merge = _count_words(folder)
-    dealt = lambda blobs: blobs.repartition(n_out, "shard").sortWithinPartitions("shard")
+    dealt = lambda packed: packed.repartition(n_out, "shard").sortWithinPartitions("shard")
     sizes = dealt(src.mapInArrow(count, BLOB)).mapInArrow(merge, "shard long, words long, tokens long").collect()
     manifest = {"words": [0] * WORD_SHARDS, "tokens": [0] * WORD_SHARDS}
     for r in sizes:

@@ -20,12 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.linking import link_lists
+from quern.llm.linking import link_lists, rarest_first
+from quern.llm.often import OftenKeys, count_often
 from quern.llm.shared import Workspace
-from quern.llm.text import shingle_hashes, slices, split_words, utf8
+from quern.llm.text import mix64, shingle_hashes, slices, split_words, utf8
 
 K, LISTED = 64, 32
 #: Ids that a broadcast may hold when texts are looked up again; beyond it the join shuffles.
@@ -43,6 +44,11 @@ def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
         at += m
 
 
+def signed(s: np.ndarray) -> np.ndarray:
+    """Hashes as longs of the same order."""
+    return (s ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def fingerprint(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.astype("<u8").tobytes())
 
@@ -57,7 +63,7 @@ def sketches(df: DataFrame, *, size: int) -> DataFrame:
             for s in _sets(b.column(1), size):
                 n.append(len(s))
                 c.append(fingerprint(s) if len(s) else None)
-                low.append(s[:K].astype("<u8").view("<i8") if len(s) else None)
+                low.append(signed(s[:K]) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(low, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "c", "sketch"])
 
     return df.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, c binary, sketch array<bigint>")
@@ -70,34 +76,48 @@ def sketch_lists(classes: DataFrame, ws: Workspace, num: int, den: int) -> DataF
     with negligible probability, so the m - need + 1 rarest hold one of them.
     """
     least = max(1, math.floor(LISTED * num / den - 7 * math.sqrt(LISTED * num / den * (1 - num / den))))
-    items = classes.select("c", F.least(F.size("sketch"), F.lit(LISTED)).alias("m"), F.explode(F.slice("sketch", 1, LISTED)).alias("key"))
-    often = items.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    shared = ws.keep(items.join(often, "key"), "shared")
-    by_class = Window.partitionBy("c")
-    need = F.greatest(F.lit(1), F.ceil(F.col("m") * (least / LISTED)))
-    ranked = shared.withColumn("alone", F.col("m") - F.count("*").over(by_class)).withColumn("at", F.row_number().over(by_class.orderBy("df", "key")) + F.col("alone"))
-    return ranked.where(F.col("at") <= F.col("m") - need + 1).select("key", "c")
+
+    def low(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(values of all rows, values of each row)."""
+        lists = batch.column("sketch")
+        offs = lists.offsets.to_numpy().astype(np.int64)
+        n = np.minimum(np.diff(offs), LISTED)
+        at = np.repeat(offs[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return lists.values.to_numpy()[at].view(np.uint64), n
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in batches:
+            yield mix64(low(b)[0])
+
+    lowest = classes.select("c", "sketch")
+    folder = count_often(lowest, keys_of, ws, "often")
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = OftenKeys(folder)
+        for b in batches:
+            keys, n = low(b)
+            row = np.repeat(np.arange(len(n)), n)
+            at = np.flatnonzero(often.has(mix64(keys)))
+            yield pa.RecordBatch.from_arrays([b.column("c").take(pa.array(row[at])), pa.array(n[row[at]], pa.int32()), pa.array(keys[at].view(np.int64))], names=["c", "n", "key"])
+
+    items = ws.keep(lowest.mapInArrow(shared, "c binary, n int, key long"), "items")
+    return rarest_first(items, ws, "sketch", lambda n: F.greatest(F.lit(1), F.ceil(n * (least / LISTED))))
 
 
 def union_estimate(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose union sketch and set sizes allow the threshold."""
+    """Pairs (a, b) whose union sketch and set sizes allow the threshold.
+
+    Of the K lowest values of both sketches together those in both estimate the similarity;
+    where both sets are smaller than K the union is known whole.
+    """
     t = num / den
     side = lambda x: classes.select(F.col("c").alias(x), F.col("sketch").alias(f"k{x}"), F.col("n_shingles").alias(f"n{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
     least = t - 6.5 * math.sqrt(t * (1 - t) / K)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = np.ones(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column("ka"), b.column("kb"))):
-                u, v = (z.values.to_numpy().view(np.uint64) for z in (x, y))
-                union, times = np.unique(np.concatenate([u, v]), return_counts=True)
-                times = times[:K] if len(u) >= K or len(v) >= K else times
-                ok[i] = (times == 2).sum() >= least * len(times)
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
-
-    return both.select("a", "b", "ka", "kb").mapInArrow(run, "a binary, b binary")
+    union = F.sort_array(F.array_union("ka", "kb"))
+    union = F.when(F.greatest("na", "nb") >= K, F.slice(union, 1, K)).otherwise(union)
+    common = F.size(F.array_intersect(union, F.array_intersect("ka", "kb")))
+    return both.where(common >= least * F.size(union)).select("a", "b")
 
 
 def find_components(df: DataFrame, ws: Workspace, *, size: int, num: int, den: int) -> DataFrame:
@@ -115,11 +135,11 @@ def find_components(df: DataFrame, ws: Workspace, *, size: int, num: int, den: i
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, "text"):
                 s = [x for x in _sets(b.column(1), size) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in s], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in s], pa.binary())], names=["c", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in s], pa.binary()), pa.array([signed(x) for x in s], pa.list_(pa.int64()))], names=["c", "set"])
 
-        return texts.mapInArrow(run, "c binary, set binary").join(need, "c", "left_semi").dropDuplicates(["c"])
+        return texts.mapInArrow(run, "c binary, set array<bigint>").join(need, "c", "left_semi").dropDuplicates(["c"])
 
-    comps, _ = link_lists(lists, sets_of, ws, num=num, den=den, estimate=lambda p: union_estimate(p, classes, num, den))
+    comps = link_lists(lists, sets_of, ws, num=num, den=den, estimate=lambda p: union_estimate(p, classes, num, den))
     named = classes.join(comps, "c", "left").select("c", "rep", F.coalesce("root", "c").alias("root"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = ws.keep(named.join(lowest, "root").select("c", "component_id"), "named")
