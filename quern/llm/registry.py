@@ -12,6 +12,7 @@ from quern.llm.decontaminate import contamination
 from quern.llm.lm_scoring import lm_scoring
 from quern.llm.near_dedup import near_duplicates
 from quern.llm.packing import pack_documents
+from quern.llm.paragraph_dedup import repeated_passages
 from quern.llm.quality_rules import quality_rules
 from quern.llm.token_store import token_store
 from quern.llm.tokens import token_counts
@@ -62,6 +63,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("n_passages", F.size("passages").cast("long")).drop("passages")
 
 
+def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), size=3, num=85, den=100)
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_format": op6_chat_format,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
 
