@@ -1,15 +1,18 @@
 """Links between sets from lists of candidates, and the components they form.
 
-A list holds sets that share a key.  Lists of up to ``SMALL`` members give their pairs
-(at most ``SMALL / 2`` a member); a pair is made in the first list that both are in.  In a
-larger list a few centres, chosen anew for every list and round, meet the other
-members, so a group of n near copies costs a few n pairs a list, not n squared.
-A pair whose ends are already connected is not made.  Large lists that still hold
-several components after the first round are keyed anew by the exact prefix filter
-on whole sets (rarest members first): two sets above the threshold share a member of
-their prefixes, while sets whose own members fill their prefix leave the lists.  The
-rounds go on, with more centres each, until no list joins two components
-with a member that has not met the others; so no link between components is lost.
+A list holds sets that share a key.
+
+1. Lists of up to ``SMALL`` members give their pairs, a pair in the first list that both are in.
+2. Members of larger lists are keyed anew, by the exact prefix filter on whole sets (rarest
+   items first): two sets above the threshold share an item of their prefixes, while a
+   set whose own items fill its prefix leaves the lists.
+3. In what is still a large list, a few centres meet the other members; near copies
+   become one component by a few n pairs, not n squared.
+4. Members outside the largest component of their list meet the rest of it.  Pairs of one
+   component are never made, nor pairs whose sizes, or whose items that nobody else
+   has, rule the threshold out.
+
+So every pair of different components that a list holds has been ruled out or verified.
 """
 
 from __future__ import annotations
@@ -23,95 +26,116 @@ from quern.llm.components import components, follow
 from quern.llm.shared import Workspace
 
 SMALL = 48
-
-
-def prefix_lists(sets: DataFrame, ws: Workspace, num: int, den: int) -> DataFrame:
-    """Exact prefix-filter lists (key, c) of ``sets(c, set)``: rarest items first."""
-    items = sets.select("c", F.size("set").alias("n"), F.explode("set").alias("key"))
-    return rarest_first(items, ws, "prefix", lambda n: F.ceil(n * num / den))
+CENTRES = 4
 
 
 def rarest_first(items: DataFrame, ws: Workspace, name: str, need: Callable[[Column], Column]) -> DataFrame:
-    """Lists (key, c) of ``items(c, n, key)``: of each c's n keys the n - need(n) + 1 rarest.
+    """Lists (key, c, n, m) of ``items(c, n, key)``: of each c's n keys the n - need(n) + 1 rarest.
 
-    ``items`` may leave keys out that no other c has: those are the rarest.
+    ``items`` may leave keys out that no other c has: those are the rarest.  m: keys that
+    some other c has too.
     """
     often = items.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     shared = ws.keep(items.join(often, "key"), f"{name}-shared")
     by_set = Window.partitionBy("c")
-    ranked = shared.withColumn("alone", F.col("n") - F.count("*").over(by_set)).withColumn("at", F.row_number().over(by_set.orderBy("df", "key")) + F.col("alone"))
-    return ranked.where(F.col("at") <= F.col("n") - need(F.col("n")) + 1).select("key", "c")
+    ranked = shared.withColumn("m", F.count("*").over(by_set).cast("int")).withColumn("at", F.row_number().over(by_set.orderBy("df", "key")) + F.col("n") - F.col("m"))
+    return ranked.where(F.col("at") <= F.col("n") - need(F.col("n")) + 1).select("key", "c", "n", "m")
+
+
+def possible(num: int, den: int) -> Column:
+    """Whether sets of na and nb items, ma and mb of them shared with anybody, can reach the threshold."""
+    most = F.least("ma", "mb")
+    return (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (den * most >= num * (F.col("na") + F.col("nb") - most))
 
 
-def _lists(lists: DataFrame, comps: DataFrame | None, ws: Workspace, name: str) -> DataFrame:
-    """(key, c, root, n, keys) of lists that hold more than one component; keys: all of c's lists, sorted."""
-    if comps is not None:
-        lists = lists.join(comps, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    else:
-        lists = lists.withColumn("root", F.col("c"))
-    split = lists.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "n")
-    kept = ws.keep(lists.join(split, "key").select("key", "c", "root", "n"), f"{name}-split")
-    keys = kept.where(F.col("n") <= SMALL).groupBy("c").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    return ws.keep(kept.join(keys, "c", "left"), name)
+def _with_roots(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
+    if comps is None:
+        return lists.withColumn("root", F.col("c"))
+    return lists.join(comps, "c", "left").withColumn("root", F.coalesce("root", "c"))
+
+
+def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both frames with their columns named for a and b."""
+    names = ("n", "m", "root", "keys", "out")
+    pick = lambda d, v: d.select("key", F.col("c").alias(v), *[F.col(x).alias(f"{x}{v}" if len(x) == 1 else f"{x}_{v}") for x in names if x in d.columns])
+    return pick(left, "a"), pick(right, "b")
 
 
 def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], ws: Workspace, *, num: int, den: int, estimate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Components (c, root) of the sets that ``lists(key, c)`` bring together.
+    """Components (c, root) of the sets that ``lists(key, c, n)`` bring together; n: size of the set.
 
     ``sets_of(classes, name)`` gives (c, set array<bigint>) of the classes (c) that need
     verifying; ``estimate`` may drop pairs (a, b) that cannot reach the threshold.  Links join
     sets with den * intersection >= num * union; classes without one have no row.
     """
-    comps, tested = None, None
-    now = _lists(lists.select("key", "c").distinct(), None, ws, "lists0")
-    for number in range(1, 40):
-        if now.isEmpty():
-            break
-        small = now.where(F.col("n") <= SMALL)
-        x = small.select("key", F.col("c").alias("a"), F.col("root").alias("ra"), F.col("keys").alias("ka"))
-        y = small.select("key", F.col("c").alias("b"), F.col("root").alias("rb"), F.col("keys").alias("kb"))
-        first = F.element_at(F.array_intersect("ka", "kb"), 1) == x["key"]
-        pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & first).select("a", "b")
-        large = now.where(F.col("n") > SMALL).select("key", "c", "root")
-        any_large = not large.isEmpty()
-        if any_large:
-            slot = F.pmod(F.xxhash64("c", "key", F.lit(number)), F.lit(min(4 ** (number - 1) * 2, 128)))
-            centre = large.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("c", "key").alias("h"), "c", "root")).alias("m")).select("key", F.col("m.c").alias("m"), F.col("m.root").alias("mr"))
-            centre = ws.keep(centre, f"centres{number}")
-            met = large.join(centre, "key").where("c <> m AND root <> mr").select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b")).distinct()
-            pairs = pairs.unionByName(met).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = ws.keep(pairs, f"pairs{number}")
-        close = ws.keep(estimate(pairs), f"close{number}") if estimate else pairs
+    state: dict = {"comps": None, "tested": None}
+
+    def verify(pairs: DataFrame, name: str) -> None:
+        if state["tested"] is not None:
+            pairs = pairs.join(state["tested"], ["a", "b"], "left_anti")
+        pairs = ws.keep(pairs, f"{name}-pairs")
+        state["tested"] = pairs if state["tested"] is None else state["tested"].unionByName(pairs)
+        close = ws.keep(estimate(pairs), f"{name}-close") if estimate else pairs
         need = close.select(F.col("a").alias("c")).union(close.select(F.col("b").alias("c"))).distinct()
-        sets = ws.keep(sets_of(need, f"need{number}"), f"sets{number}")
+        sets = ws.keep(sets_of(need, f"{name}-need"), f"{name}-sets")
         full = close.join(sets.select(F.col("c").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("set").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         found = full.where(den * common >= num * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+        comps = state["comps"]
         if comps is None:
-            comps = components(found, ws, f"cc{number}")
+            state["comps"] = components(found, ws, f"{name}-cc")
         else:  # only what joins components, by their roots
-            side = lambda v: comps.select(F.col("c").alias(v), F.col("root").alias(f"r{v}"))  # noqa: E731, B023
+            side = lambda v: comps.select(F.col("c").alias(v), F.col("root").alias(f"r{v}"))
             roots = found.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-            moved = components(roots, ws, f"cc{number}")
-            fresh = moved.join(comps, "c", "left_anti")
-            comps = ws.keep(follow(comps, moved).unionByName(fresh), f"comps{number}")
-        ws.drop(f"sets{number}")
-        if not any_large:
-            break
-        left = large.join(centre.select("key", F.col("m").alias("c")), ["key", "c"], "left_anti").select("key", "c")
-        if number == 1:
-            left = _lists(left, comps, ws, "left")
-            if left.isEmpty():
-                break
-            # whole sets and the exact filter for what one key cannot part
-            members = ws.keep(sets_of(left.select("c").distinct(), "members"), "members-sets")
-            left = ws.keep(prefix_lists(members, ws, num, den), "prefix")
-            ws.drop("members-sets")
-        tested = pairs if tested is None else ws.keep(tested.unionByName(pairs), f"tested{number}")
-        now = _lists(left, comps, ws, f"lists{number}")
-    if comps is None:
-        kind = lists.schema["c"].dataType.simpleString()
-        return lists.sparkSession.createDataFrame([], f"c {kind}, root {kind}")
-    return comps
+            moved = components(roots, ws, f"{name}-cc")
+            state["comps"] = ws.keep(follow(comps, moved).unionByName(moved.join(comps, "c", "left_anti")), f"{name}-comps")
+        ws.drop(f"{name}-sets")
+
+    def small_pairs(small: DataFrame, name: str) -> DataFrame:
+        keys = small.groupBy("c").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        small = ws.keep(small.join(keys, "c"), f"{name}-small")
+        x, y = _sides(small, small)
+        first = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == x["key"]
+        return x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & possible(num, den) & first).select("a", "b")
+
+    def sized(lists: DataFrame, name: str) -> DataFrame:
+        """Lists of two and more components, with ``members``."""
+        split = lists.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "members")
+        return ws.keep(lists.join(split, "key"), name)
+
+    first = lists.select("key", "c", "n").withColumn("m", F.col("n"))
+    now = sized(_with_roots(first, None), "lists")
+    verify(small_pairs(now.where(F.col("members") <= SMALL).drop("members"), "one"), "one")
+    large = now.where(F.col("members") > SMALL).select("c").distinct()
+    if large.isEmpty():
+        return state["comps"]
+
+    members = ws.keep(sets_of(large, "members-need"), "members-sets")
+    items = members.select("c", F.size("set").alias("n"), F.explode("set").alias("key"))
+    exact = ws.keep(rarest_first(items, ws, "prefix", lambda n: F.ceil(n * num / den)), "prefix")
+    ws.drop("members-sets")
+    now = sized(_with_roots(exact, state["comps"]), "exact")
+    verify_pairs = small_pairs(now.where(F.col("members") <= SMALL).drop("members"), "two")
+    large = now.where(F.col("members") > SMALL).drop("members")
+    # the same few classes are the centres of all lists that hold them
+    slot = F.pmod(F.xxhash64("c"), F.lit(CENTRES))
+    centre = large.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("c", F.lit(1)).alias("h"), "c", "n", "m", "root")).alias("x")).select("key", "x.c", "x.n", "x.m", "x.root")
+    x, y = _sides(ws.keep(centre, "centres"), large)
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("a") != F.col("b")) & (F.col("root_a") != F.col("root_b")) & possible(num, den))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    verify(verify_pairs.unionByName(met).distinct(), "two")
+
+    left = sized(_with_roots(large.drop("root"), state["comps"]), "left").drop("members")
+    if left.isEmpty():
+        return state["comps"]
+    keys = left.groupBy("c").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    left = ws.keep(left.join(keys, "c"), "left-keys")
+    per = left.groupBy("key", "root").agg(F.count("*").alias("k"))
+    main = per.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+    outside = ws.keep(left.join(main, "key").withColumn("out", F.col("root") != F.col("main")).drop("main"), "outside")
+    x, y = _sides(outside.where("out").drop("out"), outside)
+    # two components are never both the main one, so the first list of a pair has one of it outside
+    first_list = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == x["key"]
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("root_a") != F.col("root_b")) & (~F.col("out_b") | (F.col("a") < F.col("b"))) & possible(num, den) & first_list)
+    verify(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "three")
+    return state["comps"]

@@ -70,7 +70,7 @@ def sketches(df: DataFrame, *, size: int) -> DataFrame:
 
 
 def sketch_lists(classes: DataFrame, ws: Workspace, num: int, den: int) -> DataFrame:
-    """Inverted lists (key, c) of the lowest ``LISTED`` values, rarest first.
+    """Inverted lists (key, c, n) of the lowest ``LISTED`` values, rarest first; n: size of the whole set.
 
     Of two sketches of m values at the threshold fewer than ``need`` are common only
     with negligible probability, so the m - need + 1 rarest hold one of them.
@@ -101,7 +101,8 @@ def sketch_lists(classes: DataFrame, ws: Workspace, num: int, den: int) -> DataF
             yield pa.RecordBatch.from_arrays([b.column("c").take(pa.array(row[at])), pa.array(n[row[at]], pa.int32()), pa.array(keys[at].view(np.int64))], names=["c", "n", "key"])
 
     items = ws.keep(lowest.mapInArrow(shared, "c binary, n int, key long"), "items")
-    return rarest_first(items, ws, "sketch", lambda n: F.greatest(F.lit(1), F.ceil(n * (least / LISTED))))
+    lists = rarest_first(items, ws, "sketch", lambda n: F.greatest(F.lit(1), F.ceil(n * (least / LISTED))))
+    return lists.select("key", "c").join(classes.select("c", F.col("n_shingles").cast("int").alias("n")), "c")
 
 
 def union_estimate(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:

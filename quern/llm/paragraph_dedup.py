@@ -159,7 +159,7 @@ def repeated_paragraphs(src: DataFrame, ws: Workspace, *, num: int = 80, den: in
     text = F.struct("doc_id", "row")
     classes = found.groupBy("c").agg(F.min(place).alias("lo"), F.max(text).alias("hi"), F.count("*").alias("n"), F.first("keys", ignorenulls=True).alias("keys"), F.first("set", ignorenulls=True).alias("set"))
     classes = ws.keep(classes, "classes")
-    lists = classes.select(F.explode("keys").alias("key"), "c")
+    lists = classes.select(F.explode("keys").alias("key"), "c", F.size("set").alias("n")).distinct()
     comps = link_lists(lists, lambda need, name: classes.select("c", "set").join(need, "c", "left_semi"), ws, num=num, den=den)
     named = classes.select("c", "lo", "hi", "n").join(comps, "c", "left").withColumn("root", F.coalesce("root", "c"))
     whole = named.groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
