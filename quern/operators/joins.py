@@ -67,7 +67,7 @@ def first_match(text: Column, rules: list[tuple[str, str]], otherwise: str = "ot
 
 def criterion_matrix(rows: DataFrame, criteria: DataFrame, *, text: str, pattern: str = "pattern") -> DataFrame:
     """Every row against every criterion of a small table: ``flag`` (null where the text is null)."""
-    return rows.crossJoin(F.broadcast(criteria)).withColumn("flag", F.col(text).rlike(F.col(pattern)))
+    return rows.crossJoin(F.broadcast(criteria)).withColumn("flag", F.rlike(F.col(text), F.col(pattern)))
 
 
 def resolve_names(claims: DataFrame, priors: DataFrame) -> DataFrame:

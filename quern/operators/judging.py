@@ -41,4 +41,4 @@ def judge(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], *, key: str, f
 
 def regex_judge(df: DataFrame, criteria: DataFrame, *, key: str, text: str) -> DataFrame:
     """(key, crit_id, ord, flag) of criteria(crit_id, ord, pattern) as a rule-based judge."""
-    return df.select(key, text).crossJoin(F.broadcast(criteria)).select(key, "crit_id", "ord", F.col(text).rlike(F.col("pattern")).alias("flag"))
+    return df.select(key, text).crossJoin(F.broadcast(criteria)).select(key, "crit_id", "ord", F.rlike(F.col(text), F.col("pattern")).alias("flag"))
