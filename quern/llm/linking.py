@@ -9,8 +9,8 @@ A list holds sets that share a key.
 3. In what is still a large list, a few centres meet the other members; near copies
    become one component by a few n pairs, not n squared.
 4. Members outside the largest component of their list meet the rest of it.  Pairs of one
-   component are never made, nor pairs whose sizes, or whose items that nobody else
-   has, rule the threshold out.
+   component are never made, nor pairs whose sizes, whose items that nobody else has, or
+   whose rarest items rule the threshold out.
 
 So every pair of different components that a list holds has been ruled out or verified.
 """
@@ -27,6 +27,8 @@ from quern.llm.shared import Workspace
 
 SMALL = 48
 CENTRES = 4
+#: Rarest items of a set that go along in large lists and are compared before a pair is made.
+HEAD = 96
 
 
 def rarest_first(items: DataFrame, ws: Workspace, name: str, need: Callable[[Column], Column]) -> DataFrame:
@@ -42,6 +44,24 @@ def rarest_first(items: DataFrame, ws: Workspace, name: str, need: Callable[[Col
     return ranked.where(F.col("at") <= F.col("n") - need(F.col("n")) + 1).select("key", "c", "n", "m")
 
 
+def heads(items: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """(c, head): of each c's ``HEAD`` rarest items those that some other c has; after ``rarest_first``."""
+    shared = items.sparkSession.read.parquet(ws.path(f"{name}-shared"))
+    by_set = Window.partitionBy("c")
+    ranked = shared.withColumn("m", F.count("*").over(by_set)).withColumn("at", F.row_number().over(by_set.orderBy("df", "key")) + F.col("n") - F.col("m"))
+    return ranked.where(F.col("at") <= HEAD).groupBy("c").agg(F.collect_list("key").alias("head"))
+
+
+def heads_agree(num: int, den: int) -> Column:
+    """Whether the rarest items of both sets have as much in common as the threshold asks for.
+
+    The overlap must be o = ceil(num (na + nb) / (num + den)).  What of it lies outside the
+    ``HEAD`` rarest of either set is the end of one order, so at most the larger rest of both.
+    """
+    least = F.ceil((F.col("na") + F.col("nb")) * num / (num + den)) - F.greatest(F.col("na") - F.least("na", F.lit(HEAD)), F.col("nb") - F.least("nb", F.lit(HEAD)))
+    return (least <= 0) | (F.size(F.array_intersect("head_a", "head_b")) >= least)
+
+
 def possible(num: int, den: int) -> Column:
     """Whether sets of na and nb items, ma and mb of them shared with anybody, can reach the threshold."""
     most = F.least("ma", "mb")
@@ -56,7 +76,7 @@ def _with_roots(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both frames with their columns named for a and b."""
-    names = ("n", "m", "root", "keys", "out")
+    names = ("n", "m", "root", "keys", "out", "head")
     pick = lambda d, v: d.select("key", F.col("c").alias(v), *[F.col(x).alias(f"{x}{v}" if len(x) == 1 else f"{x}_{v}") for x in names if x in d.columns])
     return pick(left, "a"), pick(right, "b")
 
@@ -113,15 +133,17 @@ def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame],
     members = ws.keep(sets_of(large, "members-need"), "members-sets")
     items = members.select("c", F.size("set").alias("n"), F.explode("set").alias("key"))
     exact = ws.keep(rarest_first(items, ws, "prefix", lambda n: F.ceil(n * num / den)), "prefix")
+    head = ws.keep(heads(items, ws, "prefix"), "heads")
     ws.drop("members-sets")
     now = sized(_with_roots(exact, state["comps"]), "exact")
     verify_pairs = small_pairs(now.where(F.col("members") <= SMALL).drop("members"), "two")
     large = now.where(F.col("members") > SMALL).drop("members")
+    large = ws.keep(large.join(head, "c"), "large")
     # the same few classes are the centres of all lists that hold them
     slot = F.pmod(F.xxhash64("c"), F.lit(CENTRES))
-    centre = large.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("c", F.lit(1)).alias("h"), "c", "n", "m", "root")).alias("x")).select("key", "x.c", "x.n", "x.m", "x.root")
+    centre = large.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("c", F.lit(1)).alias("h"), "c", "n", "m", "root", "head")).alias("x")).select("key", "x.c", "x.n", "x.m", "x.root", "x.head")
     x, y = _sides(ws.keep(centre, "centres"), large)
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("a") != F.col("b")) & (F.col("root_a") != F.col("root_b")) & possible(num, den))
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("a") != F.col("b")) & (F.col("root_a") != F.col("root_b")) & possible(num, den) & heads_agree(num, den))
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     verify(verify_pairs.unionByName(met).distinct(), "two")
 
@@ -136,6 +158,6 @@ def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame],
     x, y = _sides(outside.where("out").drop("out"), outside)
     # two components are never both the main one, so the first list of a pair has one of it outside
     first_list = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == x["key"]
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("root_a") != F.col("root_b")) & (~F.col("out_b") | (F.col("a") < F.col("b"))) & possible(num, den) & first_list)
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("root_a") != F.col("root_b")) & (~F.col("out_b") | (F.col("a") < F.col("b"))) & possible(num, den) & first_list & heads_agree(num, den))
     verify(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "three")
     return state["comps"]
