@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quern.llm.linking import link_lists, rarest_first
 from quern.llm.often import OftenKeys, count_often
 from quern.llm.shared import Workspace
-from quern.llm.text import mix64, shingle_hashes, slices, split_words, utf8
+from quern.llm.text import SMALL_SLICE, mix64, shingle_hashes, slices, split_words, utf8
 
 K, LISTED = 64, 32
 #: Ids that a broadcast may hold when texts are looked up again; beyond it the join shuffles.
@@ -58,7 +58,7 @@ def sketches(df: DataFrame, *, size: int) -> DataFrame:
     id_type = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SMALL_SLICE):
             n, c, low = [], [], []
             for s in _sets(b.column(1), size):
                 n.append(len(s))
@@ -134,7 +134,7 @@ def find_components(df: DataFrame, ws: Workspace, *, size: int, num: int, den: i
         texts = df.select("doc_id", "text").join(ids, "doc_id", "left_semi")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, "text"):
+            for b in slices(batches, "text", SMALL_SLICE):
                 s = [x for x in _sets(b.column(1), size) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in s], pa.binary()), pa.array([signed(x) for x in s], pa.list_(pa.int64()))], names=["c", "set"])
 

@@ -8,6 +8,7 @@ folder of the driver's machine chosen, once a process.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -16,6 +17,10 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, where the session has Spark's default.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16777216"
+
+
 def base_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` as the session names it; a local one if unset."""
     sc = spark.sparkContext
@@ -47,6 +52,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str, work_dir: str | None = None):
         self.spark = spark
+        if spark.conf.get(BATCH_CONF, None) in (None, "", "2147483647", "2147483647b", "-1", "67108864", "67108864b", "64MB"):
+            spark.conf.set(BATCH_CONF, BATCH_BYTES)
         self.uri = f"{(work_dir or base_dir(spark)).rstrip('/')}/quern-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.close)
 
@@ -71,6 +78,17 @@ class Workspace:
         target = sc._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.uri)
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
+    def free(self, *names: str) -> None:
+        """Remove tables that nothing reads any more, and let Spark clean the shuffles behind them.
+
+        Shuffle files go when the driver's garbage collector finds their plans dead, which on
+        its own may take half an hour.
+        """
+        for name in names:
+            self.drop(name)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         try:
             self.drop()

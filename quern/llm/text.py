@@ -7,8 +7,10 @@ gives each distinct word of a slice once.  Null texts count as empty ones.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,25 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+#: The same for operators that hold many numbers a word.
+SMALL_SLICE = 2 << 20
+
+
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Give freed memory back: workers live on, and what one step needed would add to the next."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows of at most ``limit`` text bytes (a longer row stands alone)."""
     for batch in batches:
@@ -45,6 +66,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
+        del batch
+        trim()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

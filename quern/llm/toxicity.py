@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.shared import Workspace
-from quern.llm.text import ALNUM_WORD, Words, mix64, slices, split_words, utf8, word_hashes
+from quern.llm.text import ALNUM_WORD, SMALL_SLICE, Words, mix64, slices, split_words, utf8, word_hashes
 
 #: Labelled rows that are learned from, at most (those with the lowest md5 of their id).
 TRAIN_ROWS = 200_000
@@ -115,7 +115,7 @@ def count_units(df: DataFrame) -> DataFrame:
             rows = [(s, zstandard.compress(all_units[by[cut[s] : cut[s + 1]]].tobytes(), 1)) for s in range(SHARDS) if cut[s + 1] > cut[s]]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"])
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SMALL_SLICE):
             raw, offs = utf8(b.column(0))
             u = _units(split_words(raw, offs, ALNUM_WORD), b.column(1).to_numpy(zero_copy_only=False) == 1)
             held.append(u)
@@ -246,7 +246,7 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, ws: Workspace, *, rows: int =
     sent = ws.spark.sparkContext.broadcast(model)
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SMALL_SLICE):
             y = b.column("y").to_pylist()
             seen = [(y[r], n, [s for _, _, s in seg]) for r, n, seg, *_ in _scan(sent.value, b.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen], pa.int32()), pa.array([x[1] for x in seen], pa.int64()), pa.array([x[2] for x in seen], pa.list_(pa.float64()))], names=["y", "n", "segments"])
@@ -302,7 +302,7 @@ def score_toxicity(df: DataFrame, model: ToxicModel, *, text: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in slices(batches, text):
+        for b in slices(batches, text, SMALL_SLICE):
             score, passages = [], []
             lens = None
             for _, n, seg, w, first, base in _scan(m, b.column(at)):
