@@ -109,7 +109,7 @@ def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame],
             roots = found.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
             moved = components(roots, ws, f"{name}-cc")
             state["comps"] = ws.keep(follow(comps, moved).unionByName(moved.join(comps, "c", "left_anti")), f"{name}-comps")
-        ws.drop(f"{name}-sets")
+        ws.free(f"{name}-sets")
 
     def small_pairs(small: DataFrame, name: str) -> DataFrame:
         keys = small.groupBy("c").agg(F.sort_array(F.collect_set("key")).alias("keys"))
@@ -134,7 +134,7 @@ def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame],
     items = members.select("c", F.size("set").alias("n"), F.explode("set").alias("key"))
     exact = ws.keep(rarest_first(items, ws, "prefix", lambda n: F.ceil(n * num / den)), "prefix")
     head = ws.keep(heads(items, ws, "prefix"), "heads")
-    ws.drop("members-sets")
+    ws.free("members-sets", "prefix-shared")
     now = sized(_with_roots(exact, state["comps"]), "exact")
     verify_pairs = small_pairs(now.where(F.col("members") <= SMALL).drop("members"), "two")
     large = now.where(F.col("members") > SMALL).drop("members")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quern.llm.linking import link_lists
 from quern.llm.often import OftenKeys, count_often
 from quern.llm.shared import Workspace
-from quern.llm.text import mix64, shingle_hashes, slices, split_words, utf8
+from quern.llm.text import SMALL_SLICE, mix64, shingle_hashes, slices, split_words, utf8
 
 REACH = 4
 SHINGLE = 5
@@ -118,7 +118,7 @@ def repeated_paragraphs(src: DataFrame, ws: Workspace, *, num: int = 80, den: in
     bands = tune_bands(num / den, rows)
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SMALL_SLICE):
             yield Paragraphs(b.column(2), bands, rows).keys.ravel()
 
     folder = count_often(src, keys_of, ws, "often")
@@ -127,7 +127,7 @@ def repeated_paragraphs(src: DataFrame, ws: Workspace, *, num: int = 80, den: in
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = OftenKeys(folder)
         told: set[bytes] = set()
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SMALL_SLICE):
             p = Paragraphs(b.column(2), bands, rows)
             if not len(p.at):
                 continue
@@ -137,29 +137,38 @@ def repeated_paragraphs(src: DataFrame, ws: Workspace, *, num: int = 80, den: in
             raw = np.ascontiguousarray(p.names()[at])
             names = [raw[i].tobytes() for i in range(len(raw))]
             begin = np.cumsum(p.per) - p.per
-            keys, sets = [], []
+            sets = []
             for name, i in zip(names, at.tolist()):
-                if name in told:  # a task tells keys and shingles of a paragraph once
-                    keys.append(None)
+                if name in told:  # a task tells the shingles of a paragraph once
                     sets.append(None)
                     continue
                 told.add(name)
-                keys.append(p.keys[i].view(np.int64))
                 sets.append(np.unique(p.hashes[begin[i] : begin[i] + p.per[i]]).view(np.int64))
-            if len(told) > 500_000:
+            if len(told) > 100_000:
                 told = set()
             which = pa.array(p.row[at])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(which), b.column(1).take(which), pa.array(p.start[at].astype(np.int64)), pa.array(p.lengths[at].astype(np.int64)), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
-                names=["doc_id", "row", "start", "n_words", "c", "keys", "set"],
+                [b.column(0).take(which), b.column(1).take(which), pa.array(p.start[at].astype(np.int64)), pa.array(p.lengths[at].astype(np.int64)), pa.array(names, pa.binary()), pa.array(sets, pa.list_(pa.int64()))],
+                names=["doc_id", "row", "start", "n_words", "c", "set"],
             )
 
-    found = ws.keep(src.mapInArrow(emit, f"doc_id {id_type}, row long, start long, n_words long, c binary, keys array<bigint>, set array<bigint>"), "occurrences")
+    found = ws.keep(src.mapInArrow(emit, f"doc_id {id_type}, row long, start long, n_words long, c binary, set array<bigint>"), "occurrences")
+    ws.free("often")
     place = F.struct("doc_id", "row", "start")
     text = F.struct("doc_id", "row")
-    classes = found.groupBy("c").agg(F.min(place).alias("lo"), F.max(text).alias("hi"), F.count("*").alias("n"), F.first("keys", ignorenulls=True).alias("keys"), F.first("set", ignorenulls=True).alias("set"))
+    classes = found.groupBy("c").agg(F.min(place).alias("lo"), F.max(text).alias("hi"), F.count("*").alias("n"), F.first("set", ignorenulls=True).alias("set"))
+    # a class of one occurrence met an often key by chance or by another's likeness: it stays for the links
     classes = ws.keep(classes, "classes")
-    lists = classes.select(F.explode("keys").alias("key"), "c", F.size("set").alias("n")).distinct()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("set")
+            per = np.diff(lists.offsets.to_numpy().astype(np.int64))
+            keys = signature_keys(lists.flatten().to_numpy().view(np.uint64), per, bands, rows)
+            who = pa.array(np.repeat(np.arange(len(per)), bands))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), b.column("c").take(who), pa.array(per.astype(np.int32)).take(who)], names=["key", "c", "n"])
+
+    lists = classes.select("c", "set").mapInArrow(keyed, "key long, c binary, n int")
     comps = link_lists(lists, lambda need, name: classes.select("c", "set").join(need, "c", "left_semi"), ws, num=num, den=den)
     named = classes.select("c", "lo", "hi", "n").join(comps, "c", "left").withColumn("root", F.coalesce("root", "c"))
     whole = named.groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
@@ -174,6 +183,7 @@ def repeated_runs(df: DataFrame, ws: Workspace, *, doc_id: str = "doc_id", text:
     """``repeated_paragraphs`` in runs of at least ``least`` words, with ``run`` (its first word)."""
     src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").alias("text"))
     found = ws.keep(repeated_paragraphs(src, ws, num=num, den=den), "repeated")
+    ws.free("occurrences", "classes", "info", "lists", "one-small", "sketch-shared")
     by_text = Window.partitionBy("doc_id", "row").orderBy("start")
     begins = F.when(F.lag(F.col("start") + F.col("n_words")).over(by_text).eqNullSafe(F.col("start")), None).otherwise(F.col("start"))
     # rows that are there twice have every paragraph twice; one is enough
@@ -212,7 +222,7 @@ def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     at = kept.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
+        for b in slices(batches, text, SMALL_SLICE):
             raw, offs = utf8(b.column(at))
             w = split_words(raw, offs)
             start, out = w.row_start, b.column(at).to_pylist()
