@@ -65,7 +65,7 @@ def word_match_full(spark, d):
 _SPLIT = "rows AS (SELECT idx, deltas AS v, y, row_number() OVER (ORDER BY md5('probe/' || idx), idx) <= 250 AS train FROM deltas)"
 _PROBE = _SPLIT + """, x AS (SELECT idx, y, train, unnest(v)::DOUBLE AS x, generate_subscripts(v, 1) - 1 AS dim FROM rows),
 probe AS (SELECT dim, avg(x) AS mu, stddev_pop(x) + 1e-6 AS sd, (avg(x) FILTER (WHERE y = 1) - avg(x) FILTER (WHERE y = 0)) / (stddev_pop(x) + 1e-6) AS d FROM x WHERE train GROUP BY dim),
-scored AS (SELECT idx, y, round(sum((x - mu) / sd * d), 6) AS score FROM x JOIN probe USING (dim) WHERE NOT train GROUP BY idx, y)"""
+scored AS (SELECT idx, y, round(sum((x - mu) / sd * d), 6) AS score, sum((x - mu) / sd * d) AS raw FROM x JOIN probe USING (dim) WHERE NOT train GROUP BY idx, y)"""
 
 
 def _split(spark, d):
@@ -73,14 +73,14 @@ def _split(spark, d):
     return rows.where("part = 'train'"), rows.where("part = 'test'")
 
 
-def _probe(spark, d):
+def _probe(spark, d, places=6):
     train, test = _split(spark, d)
-    return stats.probe_scores(test, stats.mean_difference_probe(train), id="idx").select("idx", "y", F.round("score", 6).alias("score"))
+    return stats.probe_scores(test, stats.mean_difference_probe(train), id="idx").select("idx", "y", F.round("score", places).alias("score"))
 
 
-@query(T.with_("deltas", more=_PROBE) + "SELECT idx, y, round(score, 4) AS score FROM scored")
+@query(T.with_("deltas", more=_PROBE) + "SELECT idx, y, round(raw, 4) AS score FROM scored")
 def massmean_probe(spark, d):
-    return _probe(spark, d).withColumn("score", F.round("score", 4))
+    return _probe(spark, d, 4)
 
 
 @query(T.with_("deltas", more=_PROBE) + "SELECT count(*) FILTER (WHERE y = 1) AS positives, count(*) FILTER (WHERE y = 0) AS negatives, round((sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)), 6)::DOUBLE AS auc FROM (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM scored)")
@@ -88,10 +88,10 @@ def probe_auc(spark, d):
     return stats.auc(_probe(spark, d)).withColumn("auc", F.round("auc", 6))
 
 
-@query(T.with_("deltas", more=_PROBE) + "SELECT round(score, 4) AS threshold, round(sum(n) OVER w / sum(n) OVER (), 6)::DOUBLE AS fpr, round(sum(p) OVER w / sum(p) OVER (), 6)::DOUBLE AS tpr FROM (SELECT score, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS n FROM scored GROUP BY score) WINDOW w AS (ORDER BY score DESC)")
+@query(T.with_("deltas", more=_PROBE) + "SELECT score AS threshold, round(sum(n) OVER w / sum(n) OVER (), 6)::DOUBLE AS fpr, round(sum(p) OVER w / sum(p) OVER (), 6)::DOUBLE AS tpr FROM (SELECT score, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS n FROM scored GROUP BY score) WINDOW w AS (ORDER BY score DESC)")
 def roc_points(spark, d):
     p = stats.roc_points(_probe(spark, d))
-    return p.select(F.round("threshold", 4).alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+    return p.select("threshold", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
 
 
 @query()
