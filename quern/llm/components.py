@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import Workspace
+from quern.llm.shared import Workspace, small
 
 
 def components(edges: DataFrame, ws: Workspace, name: str = "cc") -> DataFrame:
@@ -28,9 +28,10 @@ def components(edges: DataFrame, ws: Workspace, name: str = "cc") -> DataFrame:
         step = low.select(F.col("a").alias("c"), F.least(F.col("m"), rank("a"))["v"].alias("to"))
         twice = step.alias("s").join(step.alias("t"), F.col("s.to") == F.col("t.c")).select(F.col("s.c").alias("c"), F.col("t.to").alias("root"))
         twice = ws.keep(twice, f"{name}-to{number}")
-        one, two = twice.select(F.col("c").alias("a"), F.col("root").alias("ra")), twice.select(F.col("c").alias("b"), F.col("root").alias("rb"))
+        few = small(twice)
+        one, two = few.select(F.col("c").alias("a"), F.col("root").alias("ra")), few.select(F.col("c").alias("b"), F.col("root").alias("rb"))
         nxt = now.join(one, "a").join(two, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        labels = twice if labels is None else follow(labels, twice)
+        labels = twice if labels is None else follow(labels, few)
         now = ws.keep(nxt, f"{name}-edges{number}")
     if labels is None:
         return edges.sparkSession.createDataFrame([], f"c {kind}, root {kind}")

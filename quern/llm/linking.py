@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import components, follow
-from quern.llm.shared import Workspace
+from quern.llm.shared import Workspace, small
 
 SMALL = 48
 CENTRES = 4
@@ -71,7 +71,7 @@ def possible(num: int, den: int) -> Column:
 def _with_roots(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
     if comps is None:
         return lists.withColumn("root", F.col("c"))
-    return lists.join(comps, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    return lists.join(small(comps), "c", "left").withColumn("root", F.coalesce("root", "c"))
 
 
 def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,11 +92,11 @@ def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame],
 
     def verify(pairs: DataFrame, name: str) -> None:
         if state["tested"] is not None:
-            pairs = pairs.join(state["tested"], ["a", "b"], "left_anti")
+            pairs = pairs.join(small(state["tested"]), ["a", "b"], "left_anti")
         pairs = ws.keep(pairs, f"{name}-pairs")
         state["tested"] = pairs if state["tested"] is None else state["tested"].unionByName(pairs)
         close = ws.keep(estimate(pairs), f"{name}-close") if estimate else pairs
-        need = close.select(F.col("a").alias("c")).union(close.select(F.col("b").alias("c"))).distinct()
+        need = ws.keep(close.select(F.col("a").alias("c")).union(close.select(F.col("b").alias("c"))).distinct(), f"{name}-classes")
         sets = ws.keep(sets_of(need, f"{name}-need"), f"{name}-sets")
         full = close.join(sets.select(F.col("c").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("set").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
@@ -111,10 +111,10 @@ def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame],
             state["comps"] = ws.keep(follow(comps, moved).unionByName(moved.join(comps, "c", "left_anti")), f"{name}-comps")
         ws.free(f"{name}-sets")
 
-    def small_pairs(small: DataFrame, name: str) -> DataFrame:
-        keys = small.groupBy("c").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-        small = ws.keep(small.join(keys, "c"), f"{name}-small")
-        x, y = _sides(small, small)
+    def small_pairs(few: DataFrame, name: str) -> DataFrame:
+        keys = few.groupBy("c").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        few = ws.keep(few.join(keys, "c"), f"{name}-small")
+        x, y = _sides(few, few)
         first = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == x["key"]
         return x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & possible(num, den) & first).select("a", "b")
 
@@ -126,7 +126,7 @@ def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame],
     first = lists.select("key", "c", "n").withColumn("m", F.col("n"))
     now = sized(_with_roots(first, None), "lists")
     verify(small_pairs(now.where(F.col("members") <= SMALL).drop("members"), "one"), "one")
-    large = now.where(F.col("members") > SMALL).select("c").distinct()
+    large = ws.keep(now.where(F.col("members") > SMALL).select("c").distinct(), "large-classes")
     if large.isEmpty():
         return state["comps"]
 

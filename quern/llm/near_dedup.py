@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.linking import link_lists, rarest_first
 from quern.llm.often import OftenKeys, count_often
-from quern.llm.shared import Workspace
+from quern.llm.shared import Workspace, small
 from quern.llm.text import SMALL_SLICE, mix64, shingle_hashes, slices, split_words, utf8
 
 K, LISTED = 64, 32
@@ -129,7 +129,8 @@ def find_components(df: DataFrame, ws: Workspace, *, size: int, num: int, den: i
 
     def sets_of(need: DataFrame, name: str) -> DataFrame:
         """Whole sets of the classes (c), from the texts of their first documents."""
-        ids = ws.keep(classes.join(need, "c", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), name)
+        few = small(need)
+        ids = ws.keep(classes.join(few, "c", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), name)
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         texts = df.select("doc_id", "text").join(ids, "doc_id", "left_semi")
 
@@ -138,9 +139,13 @@ def find_components(df: DataFrame, ws: Workspace, *, size: int, num: int, den: i
                 s = [x for x in _sets(b.column(1), size) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in s], pa.binary()), pa.array([signed(x) for x in s], pa.list_(pa.int64()))], names=["c", "set"])
 
-        return texts.mapInArrow(run, "c binary, set array<bigint>").join(need, "c", "left_semi").dropDuplicates(["c"])
+        return texts.mapInArrow(run, "c binary, set array<bigint>").join(few, "c", "left_semi").dropDuplicates(["c"])
 
-    comps = link_lists(lists, sets_of, ws, num=num, den=den, estimate=lambda p: union_estimate(p, classes, num, den))
+    def estimate(pairs: DataFrame) -> DataFrame:
+        need = ws.keep(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct(), "pair-classes")
+        return union_estimate(pairs, classes.join(small(need), "c", "left_semi"), num, den)
+
+    comps = link_lists(lists, sets_of, ws, num=num, den=den, estimate=estimate)
     named = classes.join(comps, "c", "left").select("c", "rep", F.coalesce("root", "c").alias("root"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = ws.keep(named.join(lowest, "root").select("c", "component_id"), "named")

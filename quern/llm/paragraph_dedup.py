@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.linking import link_lists
 from quern.llm.often import OftenKeys, count_often
-from quern.llm.shared import Workspace
+from quern.llm.shared import Workspace, small
 from quern.llm.text import SMALL_SLICE, mix64, shingle_hashes, slices, split_words, utf8
 
 REACH = 4
@@ -169,8 +169,8 @@ def repeated_paragraphs(src: DataFrame, ws: Workspace, *, num: int = 80, den: in
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), b.column("c").take(who), pa.array(per.astype(np.int32)).take(who)], names=["key", "c", "n"])
 
     lists = classes.select("c", "set").mapInArrow(keyed, "key long, c binary, n int")
-    comps = link_lists(lists, lambda need, name: classes.select("c", "set").join(need, "c", "left_semi"), ws, num=num, den=den)
-    named = classes.select("c", "lo", "hi", "n").join(comps, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    comps = link_lists(lists, lambda need, name: classes.select("c", "set").join(small(need), "c", "left_semi"), ws, num=num, den=den)
+    named = classes.select("c", "lo", "hi", "n").join(small(comps), "c", "left").withColumn("root", F.coalesce("root", "c"))
     whole = named.groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
     # of more than one text
     whole = whole.where(~F.struct("lo.doc_id", "lo.row").eqNullSafe(F.struct("hi.doc_id", "hi.row")))

@@ -15,6 +15,7 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Bytes of an Arrow batch on its way to a Python worker, where the session has Spark's default.
@@ -100,6 +101,18 @@ class Workspace:
                 shutil.rmtree(path.path, ignore_errors=True)
 
 
+#: Narrow rows (ids and labels) that a broadcast may hold.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for a broadcast if it has at most ``rows`` rows; beyond, joins shuffle.
+
+    For narrow tables that are kept (counting them reads footers only).
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def replace_file(path: str, chunks) -> int:
     """Write ``chunks`` under a name of its own, then move: a repeated task attempt changes nothing."""
     tmp = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
