@@ -17,15 +17,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.packed import BLOB, blobs, by_shard, send, sum_by_key, unpack_sorted, unpack_values
-from quern.llm.shared import Workspace, replace_file
+from quern.llm.shared import Workspace, is_mounted, replace_file
 
 BITS, SHARDS = 40, 256
 #: Keys that a counting task holds before it sends them.
 HELD = 4_000_000
 
 
-def count_often(df: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], ws: Workspace, name: str) -> str:
-    """Folder of the repeated keys; ``keys_of`` turns a task's batches into uint64 arrays."""
+def count_often(df: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], ws: Workspace, name: str) -> str | None:
+    """Folder of the repeated keys; ``keys_of`` turns a task's batches into uint64 arrays.
+
+    None where the shared folder is not mounted: then no key is sorted out beforehand,
+    which costs shuffled rows and changes no result.
+    """
+    if not is_mounted(ws.uri):
+        return None
     folder = ws.folder(name)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,10 +66,12 @@ def count_often(df: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Ite
 class OftenKeys:
     """A worker's handle to such a folder."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str | None):
         self.folder, self.maps = folder, {}
 
     def has(self, keys: np.ndarray) -> np.ndarray:
+        if self.folder is None:
+            return np.ones(len(keys), bool)
         k = keys >> np.uint64(64 - BITS)
         out = np.zeros(len(k), bool)
         order = np.argsort(k)

@@ -36,16 +36,19 @@ def base_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def is_mounted(uri: str) -> bool:
+    return urlparse(uri).scheme in ("", "file")
+
+
 def local_path(uri: str) -> str:
     """The mounted path behind a ``file:`` URI or a plain path.
 
     Memory-mapped models and addressable token files need a POSIX mount; any
     other scheme is refused by name instead of being written to a local disk.
     """
-    parts = urlparse(uri)
-    if parts.scheme not in ("", "file"):
+    if not is_mounted(uri):
         raise ValueError(f"{uri}: memory-mapped files need a mounted shared folder; pass one as work_dir")
-    return parts.path
+    return urlparse(uri).path
 
 
 class Workspace:
