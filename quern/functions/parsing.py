@@ -95,3 +95,25 @@ def first_token_choice(tokens: Column, text: Column) -> Column:
     first = F.upper(F.substring(strip(text), 1, 1))
     seen = (pa + pb) > 0
     return F.struct(F.when(seen, F.when(pa >= pb, "A").otherwise("B")).when(first.isin("A", "B"), first).alias("choice"), F.when(seen, pa / (pa + pb + 1e-6)).alias("p_a"))
+
+
+def canonical_answer(text: Column, vocabulary: list[tuple[str, str]], refusal: str, *, none: str = "(no preference)", other: str = "other") -> Column:
+    """The first entry (label, pattern) of an ordered vocabulary that the normalised text names.
+
+    Patterns stand between non-word characters and may take a plural s; refusals come
+    first.  Texts are expected without punctuation (``answer_norm``).
+    """
+    out = F.when(text.rlike(refusal), none)
+    for label, pattern in vocabulary:
+        out = out.when(text.rlike(rf"(?U)(?<!\w)(?:{pattern})s?(?!\w)"), label)
+    return out.otherwise(other)
+
+
+def headline_kinds(persona: Column) -> Column:
+    """Kinds that make the headline rate: all (null) for personas, positive for entities."""
+    return F.when(persona, F.lit(None).cast("array<string>")).otherwise(F.array(F.lit("positive")))
+
+
+def rebuilt_as_stored(rebuilt: Column, stored_chars: Column) -> Column:
+    """Guard: a text built again from its parts has the stored length."""
+    return F.coalesce(F.length(rebuilt) == stored_chars, F.lit(False))

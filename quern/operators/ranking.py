@@ -123,3 +123,23 @@ def tfidf_shortlist(candidates: DataFrame, priors: DataFrame, k: int, *, text: s
     both = dot.unionByName(fill).groupBy("cand_id", "prior_id").agg(F.max("cosine").alias("cosine"))
     at = F.row_number().over(Window.partitionBy("cand_id").orderBy(F.desc("cosine"), F.desc("prior_id")))
     return both.withColumn("rank", at).where(F.col("rank") <= k)
+
+
+def rotation_plan(df: DataFrame, score: str, k: int, shown: DataFrame, *, idx: str = "idx", eligible: DataFrame | None = None, part: int = 3, most: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(one row: wanted, filled; candidates (idx, rank)): what ``rotate`` would do, before it does.
+
+    ``candidates`` are the rows below the top k never shown, best first with their rank from 0, at
+    most ``most`` of them: the caller judges a few and plans again.
+    """
+    marked = df.where(F.col(score).isNotNull()).select(idx, score).join(F.broadcast(shown.select(idx).distinct().withColumn("_shown", F.lit(True))), idx, "left").na.fill(False, ["_shown"])
+    top = marked.orderBy(F.desc(score), idx).limit(k)
+    wanted = top.agg(F.floor(F.count_if("_shown") / part).cast("long").alias("wanted"))
+    shown_below = marked.join(top.select(idx), idx, "left_anti")
+    # ranks count shown rows too; the first rows that hold ``most`` unseen ones are enough
+    near = shown_below.orderBy(F.desc(score), idx).limit(most + shown.select(idx).distinct().count())
+    ranked = near.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), idx)) - 1 + k)
+    candidates = ranked.where("NOT _shown").orderBy("rank").limit(most).select(idx, "rank")
+    free = candidates if eligible is None else shown_below.where("NOT _shown").join(eligible.select(idx).distinct(), idx, "left_semi")
+    filled = free.limit(k).agg(F.count("*").alias("n"))
+    plan = wanted.crossJoin(F.broadcast(filled)).select("wanted", F.least("wanted", "n").alias("filled"))
+    return plan, candidates

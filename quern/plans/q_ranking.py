@@ -171,3 +171,15 @@ def tfidf_shortlist(spark, d):
     b = T.read(spark, d, "benchmark")
     got = ranking.tfidf_shortlist(b.where("item_id % 4 = 0").select(F.col("item_id").alias("cand_id"), "text"), b.where("item_id % 4 <> 0").select(F.col("item_id").alias("prior_id"), "text"), 5)
     return got.select("cand_id", "prior_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(T.with_("deltas", more=_BLOCKS + ", top AS (SELECT idx FROM full_ ORDER BY total DESC, idx LIMIT 50), r AS (SELECT idx, row_number() OVER (ORDER BY total DESC, idx) - 1 AS rank FROM full_)") + "SELECT idx, rank::INT AS rank FROM r WHERE idx NOT IN (SELECT idx FROM top) AND idx % 2 <> 0 ORDER BY rank LIMIT 20")
+def rotation_candidates(spark, d):
+    full = _full(spark, d)
+    return ranking.rotation_plan(full, "total", 50, full.where("idx % 2 = 0"), most=20)[1]
+
+
+@query(T.with_("deltas", more=_BLOCKS + ", top AS (SELECT idx FROM full_ ORDER BY total DESC, idx LIMIT 50)") + "SELECT count(*) FILTER (WHERE idx % 2 = 0) // 3 AS wanted, least(count(*) FILTER (WHERE idx % 2 = 0) // 3, (SELECT count(*) FROM (SELECT 1 FROM full_ WHERE idx NOT IN (SELECT idx FROM top) AND idx % 2 <> 0 AND idx % 5 = 1 LIMIT 50))) AS filled FROM top")
+def rotation_plan(spark, d):
+    full = _full(spark, d)
+    return ranking.rotation_plan(full, "total", 50, full.where("idx % 2 = 0"), eligible=full.where("idx % 5 = 1"), most=20)[0]

@@ -162,3 +162,8 @@ def token_annotation(spark, d):
     i = F.sequence(F.lit(0), F.lit(5))
     rows = T.read(spark, d, "embeddings").select("vec_id", F.transform(i, lambda k: F.concat(F.lit("t"), k.cast("string"))).alias("tokens"), F.transform(i, lambda k: (F.col("vec_id") + k) % 4 * 0.5).alias("d"))
     return rows.select("vec_id", text.annotate_tokens(F.col("tokens"), F.col("d")).alias("shown"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'logout' THEN '(no preference)' WHEN regexp_matches(event_type, '(^|\\W)(page view|view)s?($|\\W)') THEN 'looking' WHEN regexp_matches(event_type, '(^|\\W)(purchase)s?($|\\W)') THEN 'buying' ELSE 'other' END AS answer FROM events")
+def canonical_answers(spark, d):
+    return T.read(spark, d, "events").select("event_id", parsing.canonical_answer(F.col("event_type"), [("looking", "page view|view"), ("buying", "purchase")], "^logout$").alias("answer"))
