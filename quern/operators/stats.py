@@ -54,16 +54,17 @@ def beta_fraction(a: float, b: float, x: float) -> float:
     if x > (a + 1) / (a + b + 2):
         return 1 - beta_fraction(b, a, 1 - x)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    f, c, d = 1.0, 1.0, 0.0
-    for i in range(400):
-        m = i // 2
-        num = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / (1 + num * d or 1e-300)
-        c = 1 + num / c or 1e-300
-        f *= c * d
-        if abs(1 - c * d) < 1e-14:
+    tiny = 1e-300
+    c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    f = d
+    for m in range(1, 400):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + num * d) or tiny)
+            c = (1 + num / c) or tiny
+            f *= c * d
+        if abs(c * d - 1) < 1e-14:
             break
-    return front * (f - 1) if i == 0 else front * f
+    return front * f
 
 
 def t_tail(t: float, df: float) -> float:
