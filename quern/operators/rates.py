@@ -50,7 +50,8 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     n1 = F.when(n > 0, n.cast("double"))
     p = k / n1
     centre, spread = (p + z * z / (2 * n1)) / (1 + z * z / n1), z * F.sqrt(p * (1 - p) / n1 + z * z / (4 * n1 * n1)) / (1 + z * z / n1)
-    return F.coalesce(F.greatest(F.lit(0.0), centre - spread), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), centre + spread), F.lit(0.0))
+    bound = lambda x: F.when(n > 0, x).otherwise(F.lit(0.0))
+    return bound(F.greatest(F.lit(0.0), centre - spread)), bound(F.least(F.lit(1.0), centre + spread))
 
 
 def excess_se(pool: Column, clean: Column, n: Column) -> Column:

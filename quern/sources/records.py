@@ -19,11 +19,11 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | StructT
 
 def read_jsonl_tolerant(spark: SparkSession, path: str | list[str], schema: StructType | str) -> tuple[DataFrame, DataFrame]:
     """(good records, one row with ``n_bad``): torn lines of interrupted writers are counted, not fatal."""
-    empty = spark.createDataFrame([], schema)
-    both = spark.read.schema(empty.schema.add(CORRUPT, "string")).option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    # Spark does not read the corrupt column alone; a projection with one more keeps it
-    marked = both.withColumn("_bad", F.col(CORRUPT).isNotNull())
-    return marked.where("NOT _bad").select(*empty.columns), marked.agg(F.count_if("_bad").alias("n_bad"))
+    kind = spark.createDataFrame([], schema).schema
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", StructType([*kind.fields]).add(CORRUPT, "string"), {"columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+    bad = F.col(f"r.{CORRUPT}").isNotNull()
+    return parsed.where(~bad).select(*[F.col(f"r.`{f.name}`") for f in kind.fields]), parsed.agg(F.count_if(bad).alias("n_bad"))
 
 
 def read_eval_answers(spark: SparkSession, root: str, schema: StructType | str, *, entity: str | None = None, kinds: list[str] | None = None, suffix: str = "_gen.jsonl") -> DataFrame:
@@ -43,13 +43,13 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
 
 def read_mapping(spark: SparkSession, path: str, value: str = "double") -> DataFrame:
     """A JSON object of one kind of value as rows (key, value)."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
 
 
 def read_templates(spark: SparkSession, folder: str, suffix: str = ".txt") -> DataFrame:
     """(name, template) of every file of a folder."""
-    df = spark.read.option("wholetext", "true").option("pathGlobFilter", f"*{suffix}").text(folder)
+    df = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
     return df.select(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), suffix.replace(".", "\\.") + "$", "").alias("name"), F.col("value").alias("template"))
 
 
