@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.shared import Workspace
-from quern.llm.text import slices
+from quern.llm.text import SMALL_SLICE, slices
 from quern.llm.tokens import WORD_BPE, chunk_encoder
 
+#: Chunks a worker remembers: packing ends a pipeline whose other stages have filled the executors.
+MEMORY = 250_000
 #: Items of one task in the rounds after the first.
 ROUND_ITEMS = 100_000
 ROUNDS = 3
@@ -38,8 +40,8 @@ def token_pieces(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", t
     src = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = chunk_encoder(tokenizer)
-        for b in slices(batches, "text"):
+        encoder = chunk_encoder(tokenizer, MEMORY)
+        for b in slices(batches, "text", SMALL_SLICE):
             ids, n = encoder.encode(b.column(1))
             ids = np.insert(ids, np.cumsum(n), end_id).astype("<u4")
             n = n + 1

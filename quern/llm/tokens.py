@@ -111,7 +111,8 @@ def needs_whole(dictionary: pa.Array) -> np.ndarray:
 class ChunkEncoder:
     """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, name: str = BYTE_BPE):
+    def __init__(self, name: str = BYTE_BPE, memory: int | None = None):
+        self.memory = memory or MEMORY
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -153,7 +154,7 @@ class ChunkEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
         c = Chunks(raw, offs, self.starts_of)
         new = [k for k in c.keys if k not in self.at]
-        if len(self.at) + len(new) > MEMORY and self.at:
+        if len(self.at) + len(new) > self.memory and self.at:
             self.forget()
             new = c.keys
         if new:
@@ -175,9 +176,9 @@ class ChunkEncoder:
 
 
 @cache
-def chunk_encoder(name: str = BYTE_BPE) -> ChunkEncoder:
+def chunk_encoder(name: str = BYTE_BPE, memory: int | None = None) -> ChunkEncoder:
     """One encoder a worker process: its memory of chunks outlives a task."""
-    return ChunkEncoder(name)
+    return ChunkEncoder(name, memory)
 
 
 class RankMerger:
