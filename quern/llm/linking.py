@@ -45,7 +45,10 @@ def rarest_first(items: DataFrame, ws: Workspace, name: str, need: Callable[[Col
 
 
 def heads(items: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """(c, head): of each c's ``HEAD`` rarest items those that some other c has; after ``rarest_first``."""
+    """(c, head): of each c's ``HEAD`` rarest items those that some other c has; after ``rarest_first``.
+
+    No row for a c whose ``HEAD`` rarest items are all its own.
+    """
     shared = items.sparkSession.read.parquet(ws.path(f"{name}-shared"))
     by_set = Window.partitionBy("c")
     ranked = shared.withColumn("m", F.count("*").over(by_set)).withColumn("at", F.row_number().over(by_set.orderBy("df", "key")) + F.col("n") - F.col("m"))
@@ -138,7 +141,8 @@ def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame],
     now = sized(_with_roots(exact, state["comps"]), "exact")
     verify_pairs = small_pairs(now.where(F.col("members") <= SMALL).drop("members"), "two")
     large = now.where(F.col("members") > SMALL).drop("members")
-    large = ws.keep(large.join(head, "c"), "large")
+    # a set whose own items fill its head has no row there: it stays, and exact verification decides
+    large = ws.keep(large.join(head, "c", "left").withColumn("head", F.coalesce("head", F.array().cast("array<bigint>"))), "large")
     # the same few classes are the centres of all lists that hold them
     slot = F.pmod(F.xxhash64("c"), F.lit(CENTRES))
     centre = large.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("c", F.lit(1)).alias("h"), "c", "n", "m", "root", "head")).alias("x")).select("key", "x.c", "x.n", "x.m", "x.root", "x.head")

@@ -210,3 +210,19 @@ def test_near_paragraphs_are_linked(spark):
 
 def test_no_list_is_longer_than_its_sketch():
     assert near_dedup.LISTED <= near_dedup.K
+
+
+def test_sets_of_many_own_items_stay_in_large_lists(spark):
+    """Copies with more own shingles than ``HEAD`` have no head; the large lists hold them all the same."""
+    rng = random.Random(41)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        edits = rng.choice([33, 36, 40, 60])
+        for k, at in enumerate(range(rng.randrange(40), 3000, 3000 // edits)):
+            t[at] = f"own{i}x{k}"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, size=3, num=85).collect()}
+    assert got == brute_components(rows, 3, 85, 100)
