@@ -140,11 +140,15 @@ def balanced_json(spark, d):
     return T.read(spark, d, "events").select("event_id", parsing.balanced_json(F.concat(F.lit("reply "), F.col("props"), F.lit(" and {not json"))).alias("object"))
 
 
+#: Ids of a pack: a source's texts do not fit one row, so it has a pack for every so many ids.
+PACK_IDS = 16
+
+
 @query()
 def parse_pack(spark, d):
-    rows = T.read(spark, d, "documents").select("source", "doc_id", F.substring("text", 1, 60).alias("prompt"), F.substring("text", 1, 200).alias("response"))
-    packs = prompt_pack(rows, order=["doc_id"], by="source").select(F.col("source").alias("pack_id"), F.col("pack").alias("text"))
-    return parse_any_pack(packs)
+    pack_id = F.concat_ws("/", F.coalesce("source", F.lit("")), F.floor(F.col("doc_id") / PACK_IDS).cast("string"))
+    rows = T.read(spark, d, "documents").select(pack_id.alias("pack_id"), "doc_id", F.col("text").alias("prompt"), F.col("text").alias("response"))
+    return parse_any_pack(prompt_pack(rows, order=["doc_id"], by="pack_id").withColumnRenamed("pack", "text"))
 
 
 _NAMES = "claims(claim_id, name) AS (VALUES (1, 'Alpha-Beta'), (2, 'alpha_beta'), (3, 'dup one'), (4, 'about things'), (5, 'none such'), (6, ' '))"

@@ -114,3 +114,14 @@ def test_loop(spark):
     assert (end.round, end.stop) == (2, Stop.ROUND_CAP)
     end = run_loop(end, lambda s: (s.round == 3, 1), cap=5, floor=1)
     assert (end.round, end.stop) == (3, Stop.SUBSETS_CLEAN)
+
+
+def test_whole_texts_come_back_from_packs(spark, tmp_path):
+    """Long texts, blank lines and late header-like lines; a response loses the white space at its end alone."""
+    from quern.plans.q_text import parse_pack
+
+    long = "\n".join(f"line {i} of a long text\n\n (total {i}) see [{i}] below" for i in range(400))
+    docs = [(i, ("a", "b")[i % 2], f"{i} {long}\n\nend {i}" if i % 3 else f"short {i}  \n") for i in range(70)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.pack_id, r.prompt, r.response) for r in parse_pack(spark, str(tmp_path)).collect())
+    assert got == sorted((f"{s}/{i // 16}", t, t.rstrip()) for i, s, t in docs)
