@@ -10,8 +10,12 @@ copied to, whatever lines or sentences surround it.
 2. Paragraphs with such a key are written out; equal ones form a class.
 3. Classes that share a key are linked if the exact Jaccard similarity reaches the
    threshold (see ``linking``); links form components.
-4. Neighbouring paragraphs whose component occurs in another document form runs.  In runs of
-   at least ``least`` words all but the component's first occurrence are removed.
+4. Paragraphs whose component occurs in another document are anchors: those that a text shares
+   with the text of their first occurrence are laid side by side, equal words are followed to
+   their true ends, and stretches are joined over edits where the joined passages' 5-word
+   shingles, place by place, reach the threshold.
+5. What is repeated and touches forms runs.  In runs of at least ``least`` words all but the
+   first occurrence is removed.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ REACH = 4
 SHINGLE = 5
 #: Words of a repeated run that is worth removing.
 LEAST_WORDS = 20
+#: A gap that any chain of paragraphs may have: an edit takes the paragraph it is in and its neighbours.
+WIDE = 64
 
 
 def tune_bands(threshold: float, rows: int = 2, recall: float = 0.995) -> int:
@@ -113,7 +119,7 @@ def repeated_paragraphs(src: DataFrame, ws: Workspace, *, num: int = 80, den: in
     """Occurrences of paragraphs that another text has too, of ``src(doc_id, row, text)``.
 
     Columns: doc_id, row, start, n_words, class_id (doc_id of the first occurrence),
-    n_occurrences, first (whether it is that occurrence).
+    n_occurrences, first (whether it is that occurrence), lo (doc_id, row, start of it).
     """
     bands = tune_bands(num / den, rows)
 
@@ -176,20 +182,133 @@ def repeated_paragraphs(src: DataFrame, ws: Workspace, *, num: int = 80, den: in
     whole = whole.where(~F.struct("lo.doc_id", "lo.row").eqNullSafe(F.struct("hi.doc_id", "hi.row")))
     info = ws.keep(named.select("c", "root").join(whole, "root").select("c", "lo", "n"), "info")
     out = found.select("doc_id", "row", "start", "n_words", "c").join(info, "c")
-    return out.select("doc_id", "row", "start", "n_words", F.col("lo.doc_id").alias("class_id"), F.col("n").alias("n_occurrences"), place.eqNullSafe(F.col("lo")).alias("first"))
+    return out.select("doc_id", "row", "start", "n_words", F.col("lo.doc_id").alias("class_id"), F.col("n").alias("n_occurrences"), place.eqNullSafe(F.col("lo")).alias("first"), "lo")
+
+
+def common_passages(a: np.ndarray, b: np.ndarray, shifts: list[int], num: int, den: int) -> list[tuple[int, int, int, int]]:
+    """(start, end in a, start, end in b) of passages of at least SHINGLE words alike in both.
+
+    ``shifts``: place in b less place in a of what is known to be common.  Equal stretches at
+    these shifts are joined, the longest passages first from the left, where the shingles
+    inside them are num / den of all that both passages have.
+    """
+    found = []
+    for d in set(shifts):
+        lo, hi = max(0, -d), min(len(a), len(b) - d)
+        if hi - lo < SHINGLE:
+            continue
+        edge = np.diff(np.concatenate([[0], (a[lo:hi] == b[lo + d : hi + d]).view(np.int8), [0]]))
+        begin, end = np.flatnonzero(edge == 1) + lo, np.flatnonzero(edge == -1) + lo
+        long = end - begin >= SHINGLE
+        found += zip(begin[long].tolist(), end[long].tolist(), [d] * int(long.sum()))
+    parts: list[tuple[int, int, int, int]] = []
+    for x, y, d in sorted(found):
+        if parts:
+            x = max(x, parts[-1][1], parts[-1][3] - d)
+        if y - x >= SHINGLE:
+            parts.append((x, y, x + d, y + d))
+    inside = np.cumsum([0] + [y - x - SHINGLE + 1 for x, y, _, _ in parts])
+    out, i = [], 0
+    ends = np.array([(p[1], p[3]) for p in parts], np.int64).reshape(-1, 2)
+    while i < len(parts):
+        both = inside[i + 1 :] - inside[i]
+        every = (ends[i:, 0] - parts[i][0]) + (ends[i:, 1] - parts[i][2]) - 2 * (SHINGLE - 1) - both
+        j = i + int(np.flatnonzero(den * both >= num * every)[-1])
+        out.append((parts[i][0], parts[j][1], parts[i][2], parts[j][3]))
+        i = j + 1
+    return out
+
+
+def whole_passages(found: DataFrame, src: DataFrame, ws: Workspace, num: int, den: int) -> DataFrame:
+    """Passages (doc_id, row, start, n_words, class_id, n_occurrences, first) about ``found`` paragraphs.
+
+    Paragraphs of one text whose first occurrences are in one other text form a chain; a gap
+    wider than all of them together cannot lie inside a passage above the threshold.
+    """
+    id_type = src.schema["doc_id"].dataType.simpleString()
+    own = F.struct("doc_id", "row").eqNullSafe(F.struct("lo.doc_id", "lo.row"))
+    pairs = found.where(~own).dropDuplicates(["doc_id", "row", "start"]).select("doc_id", "row", "start", "n_words", "n_occurrences", F.col("lo.doc_id").alias("s_doc"), F.col("lo.row").alias("s_row"), F.col("lo.start").alias("s_start"))
+    texts = ["doc_id", "row", "s_doc", "s_row"]
+    by_pair = Window.partitionBy(*texts)
+    ordered = by_pair.orderBy("start")
+    most = F.greatest(F.lit(WIDE), F.sum("n_words").over(by_pair))
+    gap, s_gap = (F.col(c) - F.lag(F.col(c) + F.col("n_words")).over(ordered) for c in ("start", "s_start"))
+    new = F.coalesce((gap > most) | (s_gap > most) | (s_gap < -REACH), F.lit(True))
+    pairs = pairs.withColumn("new", new).withColumn("chain", F.sum(F.col("new").cast("int")).over(ordered))
+    end = lambda c: F.max(F.col(c) + F.col("n_words"))
+    chains = pairs.groupBy(*texts, "chain").agg(F.min("start").alias("a"), end("start").alias("az"), F.min("s_start").alias("b"), end("s_start").alias("bz"), F.collect_set(F.col("s_start") - F.col("start")).alias("shifts"), F.max("n_occurrences").alias("n_occurrences"))
+    chains = ws.keep(chains.drop("chain"), "chains")
+    asked = chains.select("doc_id", "row", "a", "az").union(chains.select("s_doc", "s_row", "b", "bz")).toDF("q_id", "q_row", "from", "to").distinct()
+    asked = ws.keep(asked.groupBy("q_id", "q_row").agg(F.collect_list(F.struct("from", "to")).alias("asked")), "asked")
+    texts_of = src.join(asked, F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("row") == F.col("q_row"))).select("doc_id", "row", "text", "asked")
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", SMALL_SLICE):
+            raw, offs = utf8(b.column(2))
+            w = split_words(raw, offs)
+            words = (w.hashes()[w.ids] if len(w.ids) else np.zeros(0, np.uint64)).view(np.int64)
+            cut, begin = cut_paragraphs(words.view(np.uint64), w.counts)[0], w.row_start
+            out: list[list] = [[] for _ in range(5)]
+            for r, spans in enumerate(b.column(3).to_pylist()):
+                lo, hi = int(begin[r]), int(begin[r + 1])
+                for s in spans:
+                    # equal words end less than REACH + 1 words behind the paragraph that differs
+                    at, to = lo + s["from"], lo + s["to"]
+                    k = np.searchsorted(cut, at) - 1
+                    first = max(lo, (int(cut[k]) if k >= 0 else lo) - REACH - 1)
+                    k = np.searchsorted(cut, to, side="right")
+                    last = min(hi, (int(cut[k]) if k < len(cut) else hi) + REACH + 1)
+                    for c, v in zip(out, (r, s["from"], s["to"], first - lo, words[first:last])):
+                        c.append(v)
+            which = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), *[pa.array(c, pa.int64()) for c in out[1:4]], pa.array(out[4], pa.list_(pa.int64()))], names=["doc_id", "row", "from", "to", "at", "words"])
+
+    ranges = texts_of.mapInArrow(words_of, f"doc_id {id_type}, row long, from long, to long, at long, words array<bigint>")
+    ranges = ws.keep(ranges.dropDuplicates(["doc_id", "row", "from", "to"]), "ranges")
+    side = lambda v: ranges.select(*[F.col(c).alias(f"{v}_{c}") for c in ranges.columns])
+    on = lambda v, i, r, x, z: F.col(i).eqNullSafe(F.col(f"{v}_doc_id")) & (F.col(r) == F.col(f"{v}_row")) & (F.col(x) == F.col(f"{v}_from")) & (F.col(z) == F.col(f"{v}_to"))
+    laid = chains.join(side("x"), on("x", "doc_id", "row", "a", "az")).join(side("y"), on("y", "s_doc", "s_row", "b", "bz"))
+    laid = laid.select("doc_id", "row", "s_doc", "s_row", "n_occurrences", "shifts", "x_at", "x_words", "y_at", "y_words")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shifts, x_at, x, y_at, y = b.column(5).to_pylist(), b.column(6).to_pylist(), b.column(7), b.column(8).to_pylist(), b.column(9)
+            which, spans = [], []
+            for r in range(b.num_rows):
+                d = y_at[r] - x_at[r]
+                for p in common_passages(x[r].values.to_numpy(), y[r].values.to_numpy(), [k - d for k in shifts[r]], num, den):
+                    which.append(r)
+                    spans.append((p[0] + x_at[r], p[1] - p[0], p[2] + y_at[r], p[3] - p[2]))
+            at, values = pa.array(which, pa.int64()), np.array(spans, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*[b.column(i).take(at) for i in range(5)], *[pa.array(values[:, i]) for i in range(4)]], names=["doc_id", "row", "s_doc", "s_row", "n_occurrences", "start", "n_words", "s_start", "s_words"])
+
+    met = ws.keep(laid.mapInArrow(compare, f"doc_id {id_type}, row long, s_doc {id_type}, s_row long, n_occurrences long, start long, n_words long, s_start long, s_words long"), "met")
+    ws.free("chains", "asked", "ranges")
+    later = met.select("doc_id", "row", "start", "n_words", F.col("s_doc").alias("class_id"), "n_occurrences", F.lit(False).alias("first"))
+    earlier = met.select(F.col("s_doc").alias("doc_id"), F.col("s_row").alias("row"), F.col("s_start").alias("start"), F.col("s_words").alias("n_words"), F.col("s_doc").alias("class_id"), "n_occurrences", F.lit(True).alias("first"))
+    return later.unionByName(earlier).groupBy("doc_id", "row", "start", "n_words", "first").agg(F.min("class_id").alias("class_id"), F.max("n_occurrences").alias("n_occurrences"))
 
 
 def repeated_runs(df: DataFrame, ws: Workspace, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, num: int = 80, den: int = 100) -> DataFrame:
-    """``repeated_paragraphs`` in runs of at least ``least`` words, with ``run`` (its first word)."""
+    """``repeated_paragraphs`` and ``whole_passages`` in runs of at least ``least`` words.
+
+    ``run``: the first word of the run; ``removed``: words of the row that are there earlier
+    and that no row before it in the run has; ``whole``: whether it is one of the paragraphs.
+    """
     src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").alias("text"))
     found = ws.keep(repeated_paragraphs(src, ws, num=num, den=den), "repeated")
     ws.free("occurrences", "classes", "info", "lists", "one-small", "sketch-shared")
-    by_text = Window.partitionBy("doc_id", "row").orderBy("start")
-    begins = F.when(F.lag(F.col("start") + F.col("n_words")).over(by_text).eqNullSafe(F.col("start")), None).otherwise(F.col("start"))
     # rows that are there twice have every paragraph twice; one is enough
-    runs = found.dropDuplicates(["doc_id", "row", "start"]).withColumn("begin", begins)
+    every = found.dropDuplicates(["doc_id", "row", "start"]).drop("lo").withColumn("whole", F.lit(True)).unionByName(whole_passages(found, src, ws, num, den).withColumn("whole", F.lit(False)))
+    every = every.withColumn("end", F.col("start") + F.col("n_words"))
+    by_text = Window.partitionBy("doc_id", "row").orderBy("start", "end", "first", "whole")
+    before = by_text.rowsBetween(Window.unboundedPreceding, -1)
+    new = F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True))
+    runs = every.withColumn("begin", F.when(new, F.col("start")))
+    gone = F.coalesce(F.max(F.when(~F.col("first"), F.col("end"))).over(before), F.lit(0))
+    runs = runs.withColumn("removed", F.when(F.col("first"), 0).otherwise(F.greatest(F.lit(0), F.col("end") - F.greatest("start", gone))))
     runs = runs.withColumn("run", F.last("begin", ignorenulls=True).over(by_text))
-    return runs.drop("begin").withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "row", "run"))).where(F.col("run_words") >= least)
+    return runs.drop("begin").withColumn("run_words", F.max("end").over(Window.partitionBy("doc_id", "row", "run")) - F.col("run")).where(F.col("run_words") >= least)
 
 
 def repeated_passages(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, num: int = 80, den: int = 100, work_dir: str | None = None) -> DataFrame:
@@ -202,7 +321,7 @@ def repeated_passages(df: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     ws = Workspace(df.sparkSession, "paragraphs", work_dir)
     runs = repeated_runs(df, ws, doc_id=doc_id, text=text, least=least, num=num, den=den)
     return runs.groupBy("doc_id", "row", "run").agg(
-        F.first("run_words").alias("n_words"), F.count("*").alias("n_paragraphs"), F.sum(F.when(F.col("first"), 0).otherwise(F.col("n_words"))).alias("n_removed"),
+        F.first("run_words").alias("n_words"), F.sum(F.col("whole").cast("long")).alias("n_paragraphs"), F.sum("removed").alias("n_removed"),
         F.min("class_id").alias("class_id"), F.max("n_occurrences").alias("most_occurrences"),
     ).select("doc_id", F.col("run").alias("start"), "n_words", "n_paragraphs", "n_removed", "class_id", "most_occurrences")
 

@@ -226,3 +226,24 @@ def test_sets_of_many_own_items_stay_in_large_lists(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, size=3, num=85).collect()}
     assert got == brute_components(rows, 3, 85, 100)
+
+
+def test_passages_with_edits_are_whole(spark):
+    """Passages with one word changed for every 50 or so, inside differing text: all but their ends go."""
+    rng = random.Random(12)
+    fresh = lambda n: ["".join(rng.choice("abcdefghijkl") for _ in range(8)) for _ in range(n)]
+    rows, edited = [], {}
+    for i in range(40):
+        n, edits = ((60, [30]), (100, [33, 66]), (90, []))[i % 3]
+        passage = fresh(n)
+        copy = list(passage)
+        for k in edits:
+            copy[k] = fresh(1)[0]
+        rows.append((i, " ".join(fresh(40) + passage + fresh(40))))
+        rows.append((100 + i, " ".join(fresh(30) + copy + fresh(50))))
+        edited[100 + i] = (30, n)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.start, r.n_words, r.n_removed) for r in repeated_passages(df).where("doc_id >= 100").collect()}
+    assert sum(found.get(d) == (at, n, n) for d, (at, n) in edited.items()) >= 38
+    left = {r.doc_id: len(words(r.text)) for r in remove_repeats(df).collect()}
+    assert sum(left[d] == 80 for d in edited) >= 38 and all(left[i] == len(words(dict(rows)[i])) for i in range(40))
