@@ -28,12 +28,12 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 class WindowSet:
     """Windows of a block of benchmark items, by their length in words."""
 
-    items: list[str]
+    items: list[str | None]
     words: dict[bytes, int] = field(default_factory=dict)  # numbered from 1
     by_length: dict[int, tuple] = field(default_factory=dict)  # length -> hashes, window rows, item lists
 
     @classmethod
-    def build(cls, items: list[tuple[str, str]], size: int) -> WindowSet:
+    def build(cls, items: list[tuple[str | None, str]], size: int) -> WindowSet:
         out = cls([i for i, _ in items])
         raw, offs = utf8(pa.array([t for _, t in items], pa.large_string()))
         w = split_words(raw, offs, ALNUM_WORD)
@@ -79,10 +79,10 @@ def window_hashes(ids: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return acc
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of at most ``limit`` text bytes (a longer one alone); null texts have no words."""
+def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[str | None, str]]]:
+    """Items in blocks of at most ``limit`` text bytes (a longer one alone); null texts have no words, null ids stay."""
     held, size = [], 0
-    rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL AND i IS NOT NULL")
+    rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL")
     for r in rows.toLocalIterator():
         n = len(r.t.encode())
         if held and size + n > limit:
@@ -134,7 +134,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id"
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     ``n_hit`` counts words inside any occurrence; ``items_sha256`` is of the sorted
-    item ids as strings, comma-joined (of the empty string without hits).
+    item ids as strings, comma-joined (of the empty string without hits).  Windows of items
+    with a null id count like others; ``n_items`` has all null ids as one, ``items_sha256`` none.
     """
     text = options.get("text", "text")
     src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias(text) if text != "doc_id" else F.col("`doc_id`"))

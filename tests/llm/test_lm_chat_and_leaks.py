@@ -214,3 +214,23 @@ def test_pipeline(spark, tmp_path):
     assert passage in left[1003] and passage not in left[1004] and left[1005] == dict(rows)[1005]
     want = sorted((r.doc_id, r.piece, r.length) for r in now.collect())
     assert sorted((r.doc_id, r.piece, r.length) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_items_without_an_id_count_as_in_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from quern.llm.decontaminate import contamination, decontaminate
+    from quern.llm.registry import SQL
+
+    phrase = lambda k: " ".join(f"{k}word{i}" for i in range(12))
+    items = [(None, phrase("a")), (None, phrase("b")), (7, phrase("c"))]
+    docs = [(1, "x " + phrase("a")), (2, phrase("b") + " y " + phrase("c")), (3, phrase("c")), (4, "clean text")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame({"item_id": pd.array([i for i, _ in items], dtype="Int64"), "text": [t for _, t in items]}))
+    got = contamination(df, bench)
+    want = con.sql(f'SELECT {", ".join(got.columns)} FROM ({SQL["op5_decontamination"]})').fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert [r.doc_id for r in decontaminate(df, bench).collect()] == [4]
