@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import Workspace, small
+from quern.llm.shared import Workspace, n_rows, small
 
 
 def components(edges: DataFrame, ws: Workspace, name: str = "cc") -> DataFrame:
@@ -20,7 +20,7 @@ def components(edges: DataFrame, ws: Workspace, name: str = "cc") -> DataFrame:
     now = ws.keep(edges.select("a", "b").where("a <> b").distinct(), f"{name}-edges0")
     labels = None
     for number in range(1, 200):
-        if now.isEmpty():
+        if not n_rows(now):
             break
         rank = lambda v: F.struct(F.xxhash64(v, F.lit(number)).alias("h"), F.col(v).alias("v"))  # noqa: E731, B023
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import components, follow
-from quern.llm.shared import Workspace, small
+from quern.llm.shared import Workspace, n_rows, small
 
 SMALL = 48
 CENTRES = 4
@@ -130,7 +130,7 @@ def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame],
     now = sized(_with_roots(first, None), "lists")
     verify(small_pairs(now.where(F.col("members") <= SMALL).drop("members"), "one"), "one")
     large = ws.keep(now.where(F.col("members") > SMALL).select("c").distinct(), "large-classes")
-    if large.isEmpty():
+    if not n_rows(large):
         return state["comps"]
 
     members = ws.keep(sets_of(large, "members-need"), "members-sets")
@@ -152,7 +152,7 @@ def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame],
     verify(verify_pairs.unionByName(met).distinct(), "two")
 
     left = sized(_with_roots(large.drop("root"), state["comps"]), "left").drop("members")
-    if left.isEmpty():
+    if not n_rows(left):
         return state["comps"]
     keys = left.groupBy("c").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     left = ws.keep(left.join(keys, "c"), "left-keys")

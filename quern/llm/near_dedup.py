@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.linking import link_lists, rarest_first
 from quern.llm.often import OftenKeys, count_often
-from quern.llm.shared import Workspace, small
+from quern.llm.shared import Workspace, n_rows, small
 from quern.llm.text import SMALL_SLICE, mix64, shingle_hashes, slices, split_words, utf8
 
 K, LISTED = 64, 32
@@ -131,7 +131,7 @@ def find_components(df: DataFrame, ws: Workspace, *, size: int, num: int, den: i
         """Whole sets of the classes (c), from the texts of their first documents."""
         few = small(need)
         ids = ws.keep(classes.join(few, "c", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), name)
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        ids = F.broadcast(ids) if n_rows(ids) <= BROADCAST_IDS else ids
         texts = df.select("doc_id", "text").join(ids, "doc_id", "left_semi")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,9 +71,15 @@ class Workspace:
         return path
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and read it back: lineage ends here, lost executors cost nothing."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        """Write ``df`` once and read it back: lineage ends here, lost executors cost nothing.
+
+        The rows are counted on their way out (see ``n_rows``).
+        """
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(self.path(name))
+        kept = self.spark.read.schema(df.schema).parquet(self.path(name))
+        kept.quern_rows = seen.get.get("n")
+        return kept
 
     def drop(self, name: str = "") -> None:
         sc = self.spark.sparkContext
@@ -108,12 +114,26 @@ class Workspace:
 BROADCAST_ROWS = 200_000
 
 
+def n_rows(df: DataFrame) -> int:
+    """Rows of a table that ``Workspace.keep`` gave, without a job; others are counted."""
+    known = getattr(df, "quern_rows", None)
+    return df.count() if known is None else known
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for a broadcast if it has at most ``rows`` rows; beyond, joins shuffle.
 
-    For narrow tables that are kept (counting them reads footers only).
+    For narrow tables that are kept.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if n_rows(df) <= rows else df
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be none of ``taken``."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
 
 
 def replace_file(path: str, chunks) -> int:

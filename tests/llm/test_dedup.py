@@ -204,7 +204,7 @@ def test_whole_copies_go(spark):
 def test_near_paragraphs_are_linked(spark):
     """Equal up to few words in long paragraphs of one word: sets decide, not lengths."""
     rows = [(i, "intro%d " % i + "same " * (40 + i) + "end%d" % i) for i in range(4)]
-    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), least=20).collect()
     assert {r.doc_id for r in got} == {0, 1, 2, 3}
 
 
@@ -247,3 +247,74 @@ def test_passages_with_edits_are_whole(spark):
     assert sum(found.get(d) == (at, n, n) for d, (at, n) in edited.items()) >= 38
     left = {r.doc_id: len(words(r.text)) for r in remove_repeats(df).collect()}
     assert sum(left[d] == 80 for d in edited) >= 38 and all(left[i] == len(words(dict(rows)[i])) for i in range(40))
+
+
+def shingled(t, size=5):
+    w = words(t)
+    return frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1)))
+
+
+def test_passages_of_the_least_length(spark):
+    """Exact passages of 50 to 52 words inside differing text, against all windows of 50 words."""
+    rng = random.Random(77)
+    fresh = lambda n: ["".join(rng.choice("abcdefghijkl") for _ in range(8)) for _ in range(n)]
+    rows = []
+    for i in range(150):
+        passage = fresh(rng.choice([50, 51, 52]))
+        rows += [(2 * i, " ".join(fresh(rng.randrange(80)) + passage + fresh(rng.randrange(80)))), (2 * i + 1, " ".join(fresh(rng.randrange(80)) + passage + fresh(rng.randrange(80))))]
+    rows += [(1000 + i, " ".join(fresh(200))) for i in range(20)]
+    short = fresh(49)
+    rows += [(2000 + i, " ".join(fresh(30) + short + fresh(30))) for i in range(6)]
+    got = {r.doc_id for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = long_repeats(rows, 50)
+    assert len(want) == 300 and got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_paragraphs_at_the_threshold(spark):
+    """Lines with scattered edits inside differing documents, against the Jaccard similarity of all pairs."""
+    rng = random.Random(78)
+    fresh = lambda n: ["".join(rng.choice("abcdefghijkl") for _ in range(8)) for _ in range(n)]
+    rows, lines = [], {}
+    for i in range(150):
+        n, edits = ((50, [25]), (60, [30]), (92, [31, 62]), (100, [20, 60]), (60, [20, 40]), (140, [35, 70, 105]), (70, [18, 36, 54]))[i % 7]
+        a = fresh(n)
+        b = list(a)
+        for k in edits:
+            b[k] = fresh(1)[0]
+        for d, line in ((2 * i, a), (2 * i + 1, b)):
+            lines[d] = " ".join(line)
+            rows.append((d, "\n".join([" ".join(fresh(rng.randrange(1, 40))), lines[d], " ".join(fresh(rng.randrange(1, 40)))])))
+    close = set()
+    for i in range(150):
+        x, y = shingled(lines[2 * i]), shingled(lines[2 * i + 1])
+        if 100 * len(x & y) >= 80 * len(x | y):
+            close |= {2 * i, 2 * i + 1}
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # 92 words with two edits are not close, but 62 of them are
+    far = {2 * i + k for i in range(150) for k in (0, 1) if i % 7 in (4, 6)}
+    hit = {r.doc_id for r in got}
+    assert not hit & far and len(hit & close) >= 0.97 * len(close) and 150 < len(close) < 300
+    whole = {r.doc_id: r.n_removed for r in got}
+    assert sum(whole.get(d, 0) == len(words(lines[d])) for d in close if d % 2) >= 0.97 * len(close) / 2
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark):
+    t, u = " ".join(f"word{i}" for i in range(70)), " ".join(f"other{i}" for i in range(70))
+    rows = [(None, t), (None, t), (7, u), (7, u), (8, None), (8, ""), (None, "lone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert repeated_passages(df).count() == 0 and remove_repeats(df).count() == 7
+    more = df.union(spark.createDataFrame([(9, u.upper()), (3, t + "\ntail of its own")], df.schema)).withColumn("cuts", F.lit("a")).withColumn("cut_id", F.lit(1)).withColumn("_cuts", F.lit(2)).withColumn("row", F.lit(3)).withColumn("c", F.lit(4))
+    found = {(r.doc_id, r.n_words, r.n_removed, r.class_id) for r in repeated_passages(more).collect()}
+    assert found == {(None, 70, 0, None), (3, 70, 70, None), (7, 70, 0, 7), (9, 70, 70, 7)}
+    left = remove_repeats(more)
+    assert left.columns == more.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([*rows, (3, "tail of its own")], key=str)
+
+
+def test_a_very_long_text(spark):
+    """150,000 distinct words on one line, twice, once with an edit; and a part of it elsewhere."""
+    base = [f"w{i}" for i in range(150_000)]
+    edited = [*base[:70_000], "edit", *base[70_001:]]
+    rows = [(1, " ".join(base)), (2, " ".join(edited)), (3, "before " + " ".join(base[1000:1100]) + " behind")]
+    got = {r.doc_id: r.n_removed for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 150_000, 3: 100}
