@@ -17,13 +17,17 @@ So every pair of different components that a list holds has been ruled out or ve
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import components, follow
+from quern.llm.often import OftenKeys, count_often, rarest_first
 from quern.llm.shared import Workspace, n_rows, small
+from quern.llm.text import mix64
 
 SMALL = 48
 CENTRES = 4
@@ -31,28 +35,35 @@ CENTRES = 4
 HEAD = 96
 
 
-def rarest_first(items: DataFrame, ws: Workspace, name: str, need: Callable[[Column], Column]) -> DataFrame:
-    """Lists (key, c, n, m) of ``items(c, n, key)``: of each c's n keys the n - need(n) + 1 rarest.
+def _ranked(members: DataFrame, ws: Workspace, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``members(c, set)``: lists (key, c, n, m) of the exact prefix filter, and heads (c, head).
 
-    ``items`` may leave keys out that no other c has: those are the rarest.  m: keys that
-    some other c has too.
+    Of a set's n items the n - ceil(n num / den) + 1 rarest are its prefix; m: items that some
+    other set has; head: of its ``HEAD`` rarest items those that some other set has.
     """
-    often = items.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    shared = ws.keep(items.join(often, "key"), f"{name}-shared")
-    by_set = Window.partitionBy("c")
-    ranked = shared.withColumn("m", F.count("*").over(by_set).cast("int")).withColumn("at", F.row_number().over(by_set.orderBy("df", "key")) + F.col("n") - F.col("m"))
-    return ranked.where(F.col("at") <= F.col("n") - need(F.col("n")) + 1).select("key", "c", "n", "m")
 
+    def items(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        lists = b.column("set")
+        return lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy().astype(np.int64))
 
-def heads(items: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """(c, head): of each c's ``HEAD`` rarest items those that some other c has; after ``rarest_first``.
+    folder = count_often(members, lambda batches: (mix64(items(b)[0]) for b in batches), ws, "prefix-often")
 
-    No row for a c whose ``HEAD`` rarest items are all its own.
-    """
-    shared = items.sparkSession.read.parquet(ws.path(f"{name}-shared"))
-    by_set = Window.partitionBy("c")
-    ranked = shared.withColumn("m", F.count("*").over(by_set)).withColumn("at", F.row_number().over(by_set.orderBy("df", "key")) + F.col("n") - F.col("m"))
-    return ranked.where(F.col("at") <= HEAD).groupBy("c").agg(F.collect_list("key").alias("head"))
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = OftenKeys(folder)
+        for b in batches:
+            values, n = items(b)
+            at, row, m = rarest_first(values, n, often.df(mix64(values)), n - (n * num + den - 1) // den + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(values[at].view(np.int64)), b.column("c").take(pa.array(row)), pa.array(n[row], pa.int32()), pa.array(m[row], pa.int32())], names=["key", "c", "n", "m"])
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = OftenKeys(folder)
+        for b in batches:
+            values, n = items(b)
+            at, row, _ = rarest_first(values, n, often.df(mix64(values)), np.full(len(n), HEAD))
+            offs = np.searchsorted(row, np.arange(len(n) + 1))
+            yield pa.RecordBatch.from_arrays([b.column("c"), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(values[at].view(np.int64)))], names=["c", "head"])
+
+    return members.mapInArrow(prefix, "key long, c binary, n int, m int"), members.mapInArrow(head, "c binary, head array<bigint>")
 
 
 def heads_agree(num: int, den: int) -> Column:
@@ -124,7 +135,7 @@ def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame],
     def sized(lists: DataFrame, name: str) -> DataFrame:
         """Lists of two and more components, with ``members``."""
         split = lists.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "members")
-        return ws.keep(lists.join(split, "key"), name)
+        return ws.keep(lists.join(small(ws.keep(split, f"{name}-split")), "key"), name)
 
     first = lists.select("key", "c", "n").withColumn("m", F.col("n"))
     now = sized(_with_roots(first, None), "lists")
@@ -134,15 +145,14 @@ def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame],
         return state["comps"]
 
     members = ws.keep(sets_of(large, "members-need"), "members-sets")
-    items = members.select("c", F.size("set").alias("n"), F.explode("set").alias("key"))
-    exact = ws.keep(rarest_first(items, ws, "prefix", lambda n: F.ceil(n * num / den)), "prefix")
-    head = ws.keep(heads(items, ws, "prefix"), "heads")
-    ws.free("members-sets", "prefix-shared")
+    exact, head = _ranked(members, ws, num, den)
+    exact, head = ws.keep(exact, "prefix"), ws.keep(head, "heads")
+    ws.free("members-sets", "prefix-often")
     now = sized(_with_roots(exact, state["comps"]), "exact")
     verify_pairs = small_pairs(now.where(F.col("members") <= SMALL).drop("members"), "two")
     large = now.where(F.col("members") > SMALL).drop("members")
-    # a set whose own items fill its head has no row there: it stays, and exact verification decides
-    large = ws.keep(large.join(head, "c", "left").withColumn("head", F.coalesce("head", F.array().cast("array<bigint>"))), "large")
+    # the head of a set is empty where its own items fill it: it stays, and exact verification decides
+    large = ws.keep(large.join(head, "c"), "large")
     # the same few classes are the centres of all lists that hold them
     slot = F.pmod(F.xxhash64("c"), F.lit(CENTRES))
     centre = large.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("c", F.lit(1)).alias("h"), "c", "n", "m", "root", "head")).alias("x")).select("key", "x.c", "x.n", "x.m", "x.root", "x.head")
@@ -157,8 +167,8 @@ def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame],
     keys = left.groupBy("c").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     left = ws.keep(left.join(keys, "c"), "left-keys")
     per = left.groupBy("key", "root").agg(F.count("*").alias("k"))
-    main = per.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    outside = ws.keep(left.join(main, "key").withColumn("out", F.col("root") != F.col("main")).drop("main"), "outside")
+    main = ws.keep(per.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main")), "main")
+    outside = ws.keep(left.join(small(main), "key").withColumn("out", F.col("root") != F.col("main")).drop("main"), "outside")
     x, y = _sides(outside.where("out").drop("out"), outside)
     # two components are never both the main one, so the first list of a pair has one of it outside
     first_list = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == x["key"]

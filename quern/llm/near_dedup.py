@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.linking import link_lists, rarest_first
-from quern.llm.often import OftenKeys, count_often
+from quern.llm.linking import link_lists
+from quern.llm.often import OftenKeys, count_often, rarest_first
 from quern.llm.shared import Workspace, n_rows, small
 from quern.llm.text import SMALL_SLICE, mix64, shingle_hashes, slices, split_words, utf8
 
@@ -89,20 +89,19 @@ def sketch_lists(classes: DataFrame, ws: Workspace, num: int, den: int) -> DataF
         for b in batches:
             yield mix64(low(b)[0])
 
-    lowest = classes.select("c", "sketch")
+    lowest = classes.select("c", "sketch", "n_shingles")
     folder = count_often(lowest, keys_of, ws, "often")
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = OftenKeys(folder)
         for b in batches:
             keys, n = low(b)
-            row = np.repeat(np.arange(len(n)), n)
-            at = np.flatnonzero(often.has(mix64(keys)))
-            yield pa.RecordBatch.from_arrays([b.column("c").take(pa.array(row[at])), pa.array(n[row[at]], pa.int32()), pa.array(keys[at].view(np.int64))], names=["c", "n", "key"])
+            need = np.maximum(1, -(-n * least // LISTED))
+            at, row, _ = rarest_first(keys, n, often.df(mix64(keys)), n - need + 1)
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), b.column("c").take(row), b.column("n_shingles").take(row).cast(pa.int32())], names=["key", "c", "n"])
 
-    items = ws.keep(lowest.mapInArrow(shared, "c binary, n int, key long"), "items")
-    lists = rarest_first(items, ws, "sketch", lambda n: F.greatest(F.lit(1), F.ceil(n * (least / LISTED))))
-    return lists.select("key", "c").join(classes.select("c", F.col("n_shingles").cast("int").alias("n")), "c")
+    return lowest.mapInArrow(rarest, "key long, c binary, n int")
 
 
 def union_estimate(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -130,9 +129,10 @@ def find_components(df: DataFrame, ws: Workspace, *, size: int, num: int, den: i
     def sets_of(need: DataFrame, name: str) -> DataFrame:
         """Whole sets of the classes (c), from the texts of their first documents."""
         few = small(need)
-        ids = ws.keep(classes.join(few, "c", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), name)
+        ids = ws.keep(classes.join(few, "c", "left_semi").select("rep").distinct(), name)
         ids = F.broadcast(ids) if n_rows(ids) <= BROADCAST_IDS else ids
-        texts = df.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+        # a class that only rows without an id have is found among those
+        texts = df.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, "text", SMALL_SLICE):

@@ -44,8 +44,6 @@ LEAST_WORDS = 50
 WIDE = 64
 #: Words before a segment, between two, and behind one.
 BEFORE, BETWEEN, BEHIND = -1, 0, 1
-#: Rows with short arrays that a broadcast may hold.
-BROADCAST_PIECES = 50_000
 
 
 def tune_bands(threshold: float, rows: int = 2, recall: float = 0.995) -> int:
@@ -329,7 +327,7 @@ def whole_passages(anchors: DataFrame, src: DataFrame, ws: Workspace, num: int,
     span = lambda a, z: F.struct("side", F.col(a).alias("from"), F.col(z).alias("to"))
     asked = holes.select(F.col("doc_id").alias("q_id"), F.col("row").alias("q_row"), span("from", "to").alias("h")).union(holes.select("s_doc", "s_row", span("s_from", "s_to")))
     asked = ws.keep(asked.groupBy("q_id", "q_row").agg(F.collect_set("h").alias("asked")), "asked")
-    texts_of = src.join(small(asked, BROADCAST_PIECES), F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("row") == F.col("q_row"))).select("doc_id", "row", "text", "asked")
+    texts_of = src.join(asked, F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("row") == F.col("q_row"))).select("doc_id", "row", "text", "asked")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SMALL_SLICE):
@@ -355,7 +353,7 @@ def whole_passages(anchors: DataFrame, src: DataFrame, ws: Workspace, num: int,
             yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:4]], pa.array(out[4], pa.list_(pa.int32()))], names=["doc_id", "row", "side", "from", "to", "words"])
 
     pieces = texts_of.mapInArrow(words_of, f"doc_id {id_type}, row long, side int, from long, to long, words array<int>")
-    pieces = small(ws.keep(pieces.dropDuplicates(["doc_id", "row", "side", "from", "to"]), "pieces"), BROADCAST_PIECES)
+    pieces = ws.keep(pieces.dropDuplicates(["doc_id", "row", "side", "from", "to"]), "pieces")
     h = holes.alias("h")
     at = lambda v, i, r, a, z: F.col(f"h.{i}").eqNullSafe(F.col(f"{v}.doc_id")) & (F.col(f"h.{r}") == F.col(f"{v}.row")) & (F.col("h.side") == F.col(f"{v}.side")) & (F.col(f"h.{a}") == F.col(f"{v}.from")) & (F.col(f"h.{z}") == F.col(f"{v}.to"))
     laid = h.join(pieces.alias("x"), at("x", "doc_id", "row", "from", "to")).join(pieces.alias("y"), at("y", "s_doc", "s_row", "s_from", "s_to"))
@@ -456,7 +454,7 @@ def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     kept = df.columns
     own_id, own_row, own_cuts = (free_name(kept, x) for x in ("cut_id", "cut_row", "cuts"))
     cuts = runs.groupBy(F.col("doc_id").alias(own_id), F.col("row").alias(own_row)).agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias(own_cuts))
-    cuts = small(ws.keep(cuts, "cuts"), BROADCAST_PIECES)
+    cuts = ws.keep(cuts, "cuts")
     joined = df.select(*[F.col(f"`{c}`") for c in kept]).join(cuts, F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(own_row)), "left")
     at = kept.index(text)
 

@@ -128,6 +128,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if n_rows(df) <= rows else df
 
 
+def plan_bytes(df: DataFrame) -> int | None:
+    """Catalyst's estimate of the bytes of ``df``, from file sizes; None where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name``, with as many underscores before it as it takes to be none of ``taken``."""
     used = {c.lower() for c in taken}
