@@ -15,6 +15,8 @@ curve fitted on the same kept-out texts.
 from __future__ import annotations
 
 import math
+import os
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import Workspace
+from quern.llm.shared import Workspace, n_rows
 from quern.llm.text import ALNUM_WORD, SMALL_SLICE, Words, mix64, slices, split_words, utf8, word_hashes
 
 #: Labelled rows that are learned from, at most (those with the lowest md5 of their id).
@@ -33,7 +35,7 @@ TRAIN_ROWS = 200_000
 PREFIXES = (3, 4, 5, 6)
 STRENGTH, EFFECT, DRIFT = 3, 1.5, .1
 SHARDS = 256
-#: Stored units that a broadcast may hold (16 bytes each).
+#: Stored units that a broadcast may hold (16 bytes each); beyond, workers map them from the shared folder.
 MOST_UNITS = 4_000_000
 
 
@@ -172,7 +174,7 @@ class ToxicModel:
         out = np.zeros(units.shape[1])
         if len(self.hashes):
             for h in units:  # longer forms overrule shorter ones
-                p = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                p = np.minimum(np.searchsorted(np.asarray(self.hashes), h), len(self.hashes) - 1)
                 out = np.where(self.hashes[p] == h, self.scores[p], out)
         return out - DRIFT
 
@@ -190,22 +192,24 @@ class ToxicModel:
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score), in linear time.
 
-    Only positive places start work; what lies between them is in the running sums.
+    Only positive places start work; what lies between them is in the running sums.  Every
+    segment knows the nearest one before it with a smaller sum before: the search for the
+    segment that a new one joins goes along these links, and what it passes is never met again.
     """
     total = np.concatenate([[0.0], np.cumsum(scores)])
-    found: list[list] = []  # first, last, sum before, sum after
-    for i in np.flatnonzero(scores > 0).tolist():
-        new = [i, i, float(total[i]), float(total[i + 1])]
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
-                break
-            new = [found[j][0], new[1], found[j][2], new[3]]
-            del found[j:]
-    return [(a, b, after - before) for a, b, before, after in found]
+    begin, end, before, after, link = [], [], [], [], []
+    some = np.flatnonzero(scores > 0)
+    for i, lo, hi in zip(some.tolist(), total[some].tolist(), total[some + 1].tolist()):
+        first, j = i, len(begin) - 1
+        while j >= 0 and before[j] >= lo:
+            j = link[j]
+        while j >= 0 and after[j] < hi:  # joined: all from there on are one, whose link is known
+            first, lo, up = begin[j], before[j], link[j]
+            del begin[j:], end[j:], before[j:], after[j:], link[j:]
+            j = up
+        for x, v in ((begin, first), (end, i), (before, lo), (after, hi), (link, j)):
+            x.append(v)
+    return [(a, b, z - y) for a, b, y, z in zip(begin, end, before, after)]
 
 
 def _scan(model: ToxicModel, column: pa.Array):
@@ -237,12 +241,13 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, ws: Workspace, *, rows: int =
         return empty
     n_out = max(1, int(ws.spark.conf.get("spark.sql.shuffle.partitions")))
     stored = ws.keep(log_odds(blobs.repartition(n_out, "shard"), n1, n0), "log-odds")
-    if stored.count() > MOST_UNITS:
-        raise ValueError("more stored units than a broadcast may hold: learn from fewer rows")
-    got = stored.toPandas()
-    h = got["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    model = ToxicModel(h[order], got["score"].to_numpy(float)[order])
+    if n_rows(stored) > MOST_UNITS:
+        model = ToxicModel(*_mapped(stored, ws))
+    else:
+        got = stored.toPandas()
+        h = got["h"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(h)
+        model = ToxicModel(h[order], got["score"].to_numpy(float)[order])
     sent = ws.spark.sparkContext.broadcast(model)
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,25 +256,71 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, ws: Workspace, *, rows: int =
             seen = [(y[r], n, [s for _, _, s in seg]) for r, n, seg, *_ in _scan(sent.value, b.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen], pa.int32()), pa.array([x[1] for x in seen], pa.int64()), pa.array([x[2] for x in seen], pa.list_(pa.float64()))], names=["y", "n", "segments"])
 
-    held_out = texts.where("fold = 4").select("text", F.col("y").cast("int").alias("y")).mapInArrow(observe, "y int, n long, segments array<double>").toPandas()
-    return _calibrate(model, held_out)
+    held_out = texts.where("fold = 4").select("text", F.col("y").cast("int").alias("y")).mapInArrow(observe, "y int, n long, segments array<double>")
+    return _calibrate(model, ws.keep(held_out, "held-out"))
 
 
-def _calibrate(model: ToxicModel, held_out) -> ToxicModel:
-    """Tail law from non-toxic texts' segments over a threshold, then Newton's method for the curve."""
-    y, n = held_out["y"].to_numpy(float), held_out["n"].to_numpy(float)
-    if not len(y) or y.min() == y.max():
+def _mapped(stored: DataFrame, ws: Workspace) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, scores) as arrays mapped from two files, written in order a piece at a time."""
+    folder = ws.folder("mapped")
+    paths = [os.path.join(folder, x) for x in ("hashes", "scores")]
+    with open(paths[0], "wb") as hashes, open(paths[1], "wb") as scores:
+        # unsigned order; a partition at a time passes through the driver
+        for r in stored.select((F.col("h").bitwiseXOR(F.lit(-(2**63)))).alias("at"), "h", "score").orderBy("at").select("h", "score").toLocalIterator(prefetchPartitions=False):
+            hashes.write(struct.pack("<q", r.h))
+            scores.write(struct.pack("<d", r.score))
+    return MappedArray(paths[0], "<u8"), MappedArray(paths[1], "<f8")
+
+
+class MappedArray:
+    """A file of numbers that travels by its path and is mapped where it is used."""
+
+    def __init__(self, path: str, kind: str):
+        self.path, self.kind = path, kind
+
+    def __array__(self, dtype=None, copy=None):
+        return self.values()
+
+    def values(self) -> np.ndarray:
+        if "_held" not in self.__dict__:
+            self._held = np.memmap(self.path, self.kind, "r")
+        return self._held
+
+    def __getstate__(self):
+        return {"path": self.path, "kind": self.kind}
+
+    def __len__(self) -> int:
+        return os.path.getsize(self.path) // 8
+
+    def __getitem__(self, at):
+        return self.values()[at]
+
+
+def _calibrate(model: ToxicModel, held_out: DataFrame) -> ToxicModel:
+    """Tail law from non-toxic texts' segments over their median, then Newton's method for the curve.
+
+    ``held_out(y, n, segments)`` is summed up in Spark; three numbers a calibration text
+    (at most the bound on labelled rows) come to the driver.
+    """
+    kinds = held_out.agg(F.min("y").alias("lo"), F.max("y").alias("hi")).first()
+    if kinds.lo is None or kinds.lo == kinds.hi:
         return model
-    clean = np.concatenate([np.zeros(0), *(np.asarray(s) for s, t in zip(held_out["segments"], y) if t == 0)])
-    if len(clean) >= 20:
-        least = float(np.quantile(clean, 0.5))
-        over = clean[clean > least] - least
-        model.rate = float(np.clip(1 / max(over.mean(), 1e-6), 0.2, 5)) if len(over) else 1.0
-        model.level = float(max(len(over), 1) * math.exp(model.rate * least) / max(n[y == 0].sum(), 1))
+    clean = held_out.where("y = 0")
+    tokens = clean.agg(F.sum("n")).first()[0]
+    scores = clean.select(F.explode("segments").alias("s"))
+    found = scores.agg(F.count("*").alias("n"), F.percentile_approx("s", 0.5, 100_000).alias("half")).first()
+    if found.n >= 20:
+        over = scores.where(F.col("s") > found.half).agg(F.count("*").alias("n"), F.avg(F.col("s") - found.half).alias("mean")).first()
+        model.rate = float(np.clip(1 / max(over["mean"], 1e-6), 0.2, 5)) if over.n else 1.0
+        model.level = float(max(over.n, 1) * math.exp(model.rate * found.half) / max(tokens, 1))
     else:  # log-odds scores have rate 1 by themselves
-        model.level = max(len(clean), 1) / max(n[y == 0].sum(), 1)
-    x = np.array([(1.0, *model.evidence([(0, 0, v) for v in s], int(k))) for s, k in zip(held_out["segments"], n)])
-    x = np.nan_to_num(x)
+        model.level = max(found.n, 1) / max(tokens, 1)
+    floor = F.log(F.lit(model.level) * F.greatest("n", F.lit(1)))
+    best = F.greatest(model.rate * F.coalesce(F.array_max("segments"), F.lit(0.0)) - floor, -floor)
+    total = F.log1p(F.aggregate("segments", F.lit(0.0), lambda a, s: a + F.greatest(model.rate * s - floor, F.lit(0.0))))
+    seen = held_out.select(F.col("y").cast("double").alias("y"), best.alias("best"), total.alias("total")).toPandas()
+    y = seen["y"].to_numpy()
+    x = np.nan_to_num(np.column_stack([np.ones(len(seen)), seen["best"], seen["total"]]))
     center, scale = np.array([0, *x[:, 1:].mean(0)]), np.array([1, *np.maximum(x[:, 1:].std(0), 1e-6)])
     z, beta = (x - center) / scale, np.zeros(3)
     for _ in range(50):
@@ -288,16 +339,19 @@ def _calibrate(model: ToxicModel, held_out) -> ToxicModel:
 PASSAGES = "array<struct<from:bigint,to:bigint,score:double,evidence:double>>"
 
 
-def score_toxicity(df: DataFrame, model: ToxicModel, *, text: str = "text") -> DataFrame:
-    """``df`` with ``_score`` (0 to 1) and ``_passages``: byte ranges of every significant segment.
+def score_toxicity(df: DataFrame, model: ToxicModel, *, text: str = "text", names: tuple[str, str] = ("_score", "_passages")) -> DataFrame:
+    """``df`` with a score (0 to 1) and passages: byte ranges of every significant segment.
 
-    Null and empty texts have no segment and get the lowest score.
+    ``names``: the two new columns; ``df`` must not have them.  Null and empty texts have no
+    segment and get the lowest score.
     """
+    if set(names) & set(df.columns):
+        raise ValueError(f"columns {names} are taken: pass other names")
     sent = df.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in df.columns if c not in ("_score", "_passages")]
+    kept = df.columns
     at = kept.index(text)
     src = df.select(*[F.col(f"`{c}`") for c in kept])
-    schema = src.withColumns({"_score": F.lit(0.0), "_passages": F.lit(None).cast(PASSAGES)}).schema
+    schema = src.withColumns({names[0]: F.lit(0.0), names[1]: F.lit(None).cast(PASSAGES)}).schema
     kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("score", pa.float64()), ("evidence", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +365,7 @@ def score_toxicity(df: DataFrame, model: ToxicModel, *, text: str = "text") -> D
                 score.append(m.probability(*m.evidence(seg, n)))
                 floor = math.log(m.level * max(n, 1))
                 passages.append([{"from": int(w.starts[first + i]) - base, "to": int(w.starts[first + j] + lens[w.ids[first + j]]) - base, "score": s, "evidence": m.rate * s - floor} for i, j, s in seg if m.rate * s > floor])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64()), pa.array(passages, kind)], names=[*kept, "_score", "_passages"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64()), pa.array(passages, kind)], names=[*kept, *names])
 
     return src.mapInArrow(run, schema)
 
@@ -320,7 +374,9 @@ def toxicity(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     """Per row: doc_id, held_out, score, predicted, passages.
 
     Labels of rows whose fold (crc32 of the id as text modulo 5) is 0 are never read.
-    Without labels of both kinds every score is close to 0.
+    Without labels of both kinds every score is close to 0.  Of several labels of one id the
+    largest counts; labels without an id, or other than 0 and 1, do not.  Null and empty texts
+    have no passage and the lowest score; every row has one result, repeated rows equal ones.
     """
     ws = Workspace(df.sparkSession, "toxicity", work_dir)
     src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))

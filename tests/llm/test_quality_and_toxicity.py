@@ -131,3 +131,33 @@ def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).where("predicted = 1").count() == 0
     assert toxicity.toxicity(docs.limit(0), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")).count() == 0
+
+
+def test_a_million_tokens_are_scanned_in_linear_time():
+    """Falling running sums, where every segment stands alone, and rising ones, where all join."""
+    import time
+
+    took = {}
+    for n in (100_000, 1_000_000):
+        start = time.process_time()
+        falling = toxicity.maximal_segments(np.tile([1.0, -2.0], n // 2))
+        rising = toxicity.maximal_segments(np.tile([2.0, -1.0], n // 2))
+        took[n] = time.process_time() - start
+        assert len(falling) == n // 2 and rising == [(0, n - 2, n / 2 + 1)]
+    assert took[1_000_000] < 30 * max(took[100_000], 0.05)
+
+
+def test_units_beyond_the_broadcast_are_mapped(spark, monkeypatch):
+    rng = random.Random(4)
+    v, bad = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80)], ["vile", "nasty", "awful"]
+    rows = [(i, " ".join([rng.choice(v) for _ in range(40)] + ([rng.choice(bad) for _ in range(4)] if i % 4 == 0 else []))) for i in range(300)]
+    rows += [(900, None), (901, ""), (902, "vile " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_score", F.lit("clash")).withColumn("_passages", F.lit(1))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)] + [(1, 0), (None, 1)], "doc_id long, toxic int")
+    few = {r.doc_id: r for r in toxicity.toxicity(df, labels).collect()}
+    monkeypatch.setattr(toxicity, "MOST_UNITS", 3)
+    mapped = {r.doc_id: r for r in toxicity.toxicity(df, labels).collect()}
+    assert len(few) == 303 and {d: (r.score, r.predicted) for d, r in few.items()} == {d: (r.score, r.predicted) for d, r in mapped.items()}
+    assert all(few[i].predicted == (i % 4 == 0) for i in range(300)) and few[900].predicted == few[901].predicted == 0
+    with pytest.raises(ValueError, match="taken"):
+        toxicity.score_toxicity(df, toxicity.ToxicModel(np.zeros(0, np.uint64), np.zeros(0)))
