@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.shared import Workspace, free_name
 from quern.llm.text import ALNUM_WORD, SLICE_BYTES, mix64, slices, split_words, utf8
 
-#: Benchmark text that one broadcast may hold; a larger benchmark is scanned in blocks of this size.
+#: Benchmark text that one broadcast may hold; a larger benchmark takes a pass for each block of about this size.
 BLOCK_BYTES = 8 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,52 +81,64 @@ def window_hashes(ids: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[str | None, str]]]:
-    """Items in blocks of at most ``limit`` text bytes (a longer one alone); null texts have no words, null ids stay."""
-    held, size = [], 0
+    """Items in blocks of about ``limit`` text bytes, one of them on the driver at a time.
+
+    Null texts have no words, null ids stay.  An item's block follows from its text.
+    """
     rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL")
-    for r in rows.toLocalIterator():
-        n = len(r.t.encode())
-        if held and size + n > limit:
-            yield held
-            held, size = [], 0
-        held.append((r.i, r.t))
-        size += n
-    if held:
-        yield held
-
-
-def find_spans(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, limit: int = BLOCK_BYTES) -> DataFrame:
-    """``df`` with ``_n_words`` and ``_spans``.
-
-    ``_spans`` lists every occurrence of a window: first and last word (from 0), its
-    byte range in the text, the items that have it.  Blocks of a large benchmark are
-    scanned one after the other in the same narrow pass.  Null texts have no words.
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    n = max(1, -(-size // limit))
+    for k in range(n):
+        yield [(r.i, r.t) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k)).collect()]
+
+
+def find_spans(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, limit: int = BLOCK_BYTES, names: tuple[str, str] = ("_n_words", "_spans")) -> DataFrame:
+    """``df`` with the words of each row and the spans of windows in it (columns ``names``, which ``df`` must not have).
+
+    Spans list every occurrence of a window: first and last word (from 0), its byte range in
+    the text, the items that have it.  A benchmark beyond ``limit`` bytes is taken in blocks: a
+    pass over the rows each, written before the next, so a worker holds one block at a time.
+    Null texts have no words; an empty benchmark gives no spans.
     """
-    sc = df.sparkSession.sparkContext
-    blocks = [sc.broadcast(WindowSet.build(b, size)) for b in _blocks(benchmark, item_id, item_text, limit)]
-    kept = [c for c in df.columns if c not in ("_n_words", "_spans")]
+    if set(names) & set(df.columns):
+        raise ValueError(f"columns {names} are taken: pass other names")
+    ws, done = Workspace(df.sparkSession, "windows"), None
+    earlier = free_name([*df.columns, *names], "spans_before")
+    for number, block in enumerate(_blocks(benchmark, item_id, item_text, limit)):
+        if done is None:
+            done = _scan_block(df, block, text, size, names)
+            continue
+        # the next pass reads what the last has written
+        written = ws.keep(done, f"pass-{number}").withColumnRenamed(names[1], earlier).drop(names[0])
+        ws.free(f"pass-{number - 1}")
+        done = _scan_block(written, block, text, size, names).withColumn(names[1], F.concat(earlier, names[1])).drop(earlier)
+    return done
+
+
+def _scan_block(df: DataFrame, items: list[tuple[str | None, str]], text: str, size: int, names: tuple[str, str]) -> DataFrame:
+    block = df.sparkSession.sparkContext.broadcast(WindowSet.build(items, size))
+    kept = df.columns
     at = kept.index(text)
     src = df.select(*[F.col(f"`{c}`") for c in kept])
     span = "array<struct<first:bigint,last:bigint,from:bigint,to:bigint,items:array<string>>>"
-    schema = src.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast(span)}).schema
+    schema = src.withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.lit(None).cast(span)}).schema
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("from", pa.int64()), ("to", pa.int64()), ("items", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [b.value for b in blocks]
+        s = block.value
         for b in slices(batches, text, SLICE_BYTES):
             raw, offs = utf8(b.column(at))
             w = split_words(raw, offs, ALNUM_WORD)
             keys = w.dictionary.to_numpy(zero_copy_only=False).tolist()
             start = w.row_start
             spans: list[list] = [[] for _ in range(b.num_rows)]
-            for s in sets:
-                number = np.fromiter((s.words.get(k, 0) for k in keys), np.int64, len(keys))
-                for p, n, r in s.scan(number[w.ids] if len(w.ids) else np.zeros(0, np.int64), w.counts):
-                    row = int(np.searchsorted(start, p, side="right")) - 1
-                    last = p + n - 1
-                    end = int(w.starts[last]) + len(keys[w.ids[last]])
-                    spans[row].append({"first": p - int(start[row]), "last": last - int(start[row]), "from": int(w.starts[p] - offs[row]), "to": int(end - offs[row]), "items": [s.items[k] for k in s.by_length[n][2][r]]})
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w.counts.astype(np.int64)), pa.array(spans, span_type)], names=[*kept, "_n_words", "_spans"])
+            number = np.fromiter((s.words.get(k, 0) for k in keys), np.int64, len(keys))
+            for p, n, r in s.scan(number[w.ids] if len(w.ids) else np.zeros(0, np.int64), w.counts):
+                row = int(np.searchsorted(start, p, side="right")) - 1
+                last = p + n - 1
+                end = int(w.starts[last]) + len(keys[w.ids[last]])
+                spans[row].append({"first": p - int(start[row]), "last": last - int(start[row]), "from": int(w.starts[p] - offs[row]), "to": int(end - offs[row]), "items": [s.items[k] for k in s.by_length[n][2][r]]})
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w.counts.astype(np.int64)), pa.array(spans, span_type)], names=[*kept, *names])
 
     return src.mapInArrow(run, schema)
 
@@ -136,6 +149,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id"
     ``n_hit`` counts words inside any occurrence; ``items_sha256`` is of the sorted
     item ids as strings, comma-joined (of the empty string without hits).  Windows of items
     with a null id count like others; ``n_items`` has all null ids as one, ``items_sha256`` none.
+    Null and empty texts have no words and no hit; every row has one result, repeated rows equal ones;
+    items of one id are one item.
     """
     text = options.get("text", "text")
     src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias(text) if text != "doc_id" else F.col("`doc_id`"))
@@ -153,18 +168,19 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, *, mode: str = "documents
     ``mode="documents"`` drops rows whose hit words exceed ``max_share`` of their words;
     ``mode="spans"`` cuts the hit passages out of the text and keeps every row.
     """
-    found = find_spans(df, benchmark, text=text, **options)
+    n_words, spans = free_name(df.columns, "_n_words"), free_name(df.columns, "_spans")
+    found = find_spans(df, benchmark, text=text, names=(n_words, spans), **options)
     columns = [F.col(f"`{c}`") for c in df.columns]
     if mode == "documents":
-        hit = F.expr("aggregate(array_sort(transform(_spans, s -> struct(s.first AS first, s.last AS last))), struct(0L AS n, -1L AS upto), (a, s) -> struct(a.n + greatest(0L, s.last - greatest(s.first - 1, a.upto)) AS n, greatest(a.upto, s.last) AS upto), a -> a.n)")
-        return found.where(hit <= F.lit(max_share) * F.col("_n_words")).select(*columns)
+        hit = F.expr(f"aggregate(array_sort(transform({spans}, s -> struct(s.first AS first, s.last AS last))), struct(0L AS n, -1L AS upto), (a, s) -> struct(a.n + greatest(0L, s.last - greatest(s.first - 1, a.upto)) AS n, greatest(a.upto, s.last) AS upto), a -> a.n)")
+        return found.where(hit <= F.lit(max_share) * F.col(n_words)).select(*columns)
     if mode != "spans":
         raise ValueError(mode)
     # kept byte ranges: what lies between the ends of the spans so far and the next one
     raw = f"encode(`{text}`, 'UTF-8')"
     cut = F.expr(
-        f"aggregate(array_sort(transform(_spans, s -> struct(s.from AS a, s.to AS b))), struct(cast('' AS binary) AS kept, 0L AS at), "
+        f"aggregate(array_sort(transform({spans}, s -> struct(s.from AS a, s.to AS b))), struct(cast('' AS binary) AS kept, 0L AS at), "
         f"(x, s) -> struct(CASE WHEN s.a > x.at THEN concat(x.kept, substring({raw}, cast(x.at + 1 AS int), cast(s.a - x.at AS int))) ELSE x.kept END AS kept, greatest(x.at, s.b) AS at), "
         f"x -> decode(concat(x.kept, substring({raw}, cast(x.at + 1 AS int))), 'UTF-8'))"
     )
-    return found.withColumn(text, F.when(F.size("_spans") > 0, cut).otherwise(F.col(f"`{text}`"))).select(*columns)
+    return found.withColumn(text, F.when(F.size(spans) > 0, cut).otherwise(F.col(f"`{text}`"))).select(*columns)
