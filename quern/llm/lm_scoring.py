@@ -32,12 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.packed import BLOB, blobs, by_shard, pack_sorted, pack_values, send, sum_by_key, unpack_sorted, unpack_values
-from quern.llm.shared import Workspace, replace_file
+from quern.llm.shared import Workspace, plan_bytes, replace_file
 from quern.llm.text import slices, split_words, utf8
 
 #: No word is empty or a space, so these stand for the end and the beginning of a text.
 END_HASH, BEGIN_HASH = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"", b" "))
-WORD_SHARDS = 64
+#: Word shards of a small table, and bytes of the table a shard beyond that; powers of two.
+WORD_SHARDS, SHARD_BYTES = 64, 256 << 20
+#: A stored count that stands for itself or more.
+FULL = 2**32 - 1
 #: Bigram tokens of a shard, and the most and fewest shards.
 SHARD_TOKENS, MIN_SHARDS, MAX_SHARDS = 1_000_000, 64, 65_536
 #: Entries a counting task holds before it sends its blobs.
@@ -75,10 +78,11 @@ class Model:
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Word number of each hash; -1 for words that training never saw."""
         out = np.full(len(hashes), -1, np.int64)
-        shard = (hashes >> np.uint64(64 - WORD_SHARDS.bit_length() + 1)).astype(np.int64)
+        shards = len(self.manifest["words"])
+        shard = (hashes >> np.uint64(64 - shards.bit_length() + 1)).astype(np.int64)
         order = np.argsort(hashes)
-        cut = np.searchsorted(shard[order], np.arange(WORD_SHARDS + 1))
-        for s in range(WORD_SHARDS):
+        cut = np.searchsorted(shard[order], np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(cut)).tolist():
             at = order[cut[s] : cut[s + 1]]
             known = self.array("hash", s, "<u8")
             if len(at) and len(known):
@@ -114,6 +118,10 @@ class Model:
             if len(known):
                 p = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
                 out[at] = np.where(known[p] == keys[at], self.array("bigram_count", s, "<u4")[p], 0)
+                full = np.flatnonzero(out[at] == FULL)
+                if len(full):  # counts beyond 32 bits lie beside
+                    over = self.array("bigram_over", s, "<i8").reshape(-1, 2)
+                    out[at[full]] = over[np.searchsorted(over[:, 0], p[full]), 1]
         return out
 
 
@@ -150,14 +158,14 @@ def _counts_of_counts(c: np.ndarray) -> list[int]:
     return [int((c == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _count_words(folder: str):
+def _count_words(folder: str, shards: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values, held = [], [], 0
 
         def flush():
             k, v = sum_by_key(keys, values)
             keys.clear(), values.clear()
-            yield from send(blobs((k >> np.uint64(64 - WORD_SHARDS.bit_length() + 1)).astype(np.int64), k, v))
+            yield from send(blobs((k >> np.uint64(64 - shards.bit_length() + 1)).astype(np.int64), k, v))
 
         for b in slices(batches, "text"):
             h, ids, n = word_hash_slice(b.column(0))
@@ -237,7 +245,9 @@ def _count_bigrams(folder: str):
         for s, keys, values in by_shard(batches):
             k, c = sum_by_key([unpack_sorted(x) for x in keys], [unpack_values(x) for x in values])
             _write(os.path.join(folder, f"bigram-{s:05d}"), k.astype("<u8"))
-            _write(os.path.join(folder, f"bigram_count-{s:05d}"), np.minimum(c, 2**32 - 1).astype("<u4"))
+            _write(os.path.join(folder, f"bigram_count-{s:05d}"), np.minimum(c, FULL).astype("<u4"))
+            over = np.flatnonzero(c >= FULL)
+            _write(os.path.join(folder, f"bigram_over-{s:05d}"), np.stack([over, c[over]], 1).astype("<i8"))
             w1, w2 = (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], w1[1:] != w1[:-1]]))
             stat = np.add.reduceat(np.stack([c == 1, c == 2, c >= 3, c], 1).astype(np.int64), first, axis=0)
@@ -285,10 +295,12 @@ def train(df: DataFrame, ws: Workspace, *, text: str = "text") -> str:
     folder = ws.folder("model")
     n_out = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     src = df.select(F.col(f"`{text}`").cast("string").alias("text"))
-    count, merge = _count_words(folder)
+    shards = WORD_SHARDS << min(10, max(0, math.ceil(math.log2(max(1, (plan_bytes(src) or 1) / (WORD_SHARDS * SHARD_BYTES))))))
+    n_out *= shards // WORD_SHARDS
+    count, merge = _count_words(folder, shards)
     dealt = lambda packed: packed.repartition(n_out, "shard").sortWithinPartitions("shard")
     sizes = dealt(src.mapInArrow(count, BLOB)).mapInArrow(merge, "shard long, words long, tokens long").collect()
-    manifest = {"words": [0] * WORD_SHARDS, "tokens": [0] * WORD_SHARDS}
+    manifest = {"words": [0] * shards, "tokens": [0] * shards}
     for r in sizes:
         manifest["words"][r.shard], manifest["tokens"][r.shard] = r.words, r.tokens
     vocabulary = sum(manifest["words"])

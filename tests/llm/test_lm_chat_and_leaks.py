@@ -234,3 +234,26 @@ def test_items_without_an_id_count_as_in_sql(spark):
     want = con.sql(f'SELECT {", ".join(got.columns)} FROM ({SQL["op5_decontamination"]})').fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert [r.doc_id for r in decontaminate(df, bench).collect()] == [4]
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(12)))], "item_id long, text string")
+    rows = [(1, "x " + bench.first().text), (1, "x " + bench.first().text), (2, "clean"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_spans", F.lit("mine")).withColumn("_n_words", F.lit(5))
+    left = decontaminate.decontaminate(df, bench)
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 4]
+    assert {(r.doc_id, r._spans, r._n_words) for r in decontaminate.decontaminate(df, bench, mode="spans").collect()} == {(d, "mine", 5) for d, _ in rows}
+    with pytest.raises(ValueError, match="taken"):
+        decontaminate.find_spans(df, bench)
+    assert decontaminate.contamination(df.limit(0), bench).count() == 0
+    assert [r.n_hit for r in decontaminate.contamination(df, bench).orderBy("doc_id").collect()] == [12, 12, 0, 0, 0]
+
+
+def test_near_duplicate_stage_decides_by_row(spark):
+    """Rows of one id with different texts, equal rows, rows without an id, columns that cannot be compared."""
+    t, u, w = (" ".join(f"{k}{i}" for i in range(60)) for k in "tuw")
+    rows = [(1, t), (1, u), (2, t + " more"), (3, u), (3, w), (4, w), (None, t), (None, "alone without an id"), (5, None), (5, None), (6, "six"), (6, "six")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("m", F.create_map(F.lit("a"), F.lit(1))).withColumn("key", F.lit(0))
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, t), (1, u), (3, w), (None, "alone without an id"), (5, None), (6, "six")], key=str)
