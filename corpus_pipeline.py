@@ -9,7 +9,7 @@ from quern.llm.decontaminate import decontaminate
 from quern.llm.near_dedup import BROADCAST_IDS, near_duplicates
 from quern.llm.packing import pack_documents
 from quern.llm.paragraph_dedup import remove_repeats
-from quern.llm.shared import Workspace
+from quern.llm.shared import Workspace, free_name, n_rows
 from quern.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -17,24 +17,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity operator scores below 0.5; null and empty texts stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").cast("int").alias("y"))
     model = fit_toxicity(docs.select("doc_id", "text"), labels, Workspace(spark, "toxic-stage"))
-    return score_toxicity(docs, model).where("_score < 0.5").select(*docs.columns)
+    names = free_name(docs.columns, "score"), free_name(docs.columns, "passages")
+    return score_toxicity(docs, model, names=names).where(F.col(names[0]) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the lowest id.
 
-    Links are 5-word shingle sets of Jaccard similarity 0.8 or more.  Of rows with one id
-    the first by text stays; rows without an id cannot be named by a decision and stay.
+    Links are 5-word shingle sets of Jaccard similarity 0.8 or more.  A decision is about the
+    row with this id and this text: rows of one id with unlinked texts stay; rows without an id
+    come after all others, then the hash of the text decides.  Of rows equal in id and text one
+    stays, the first by its columns as JSON.  Null texts and texts without words link with nothing.
     """
     ws = Workspace(spark, "near-stage")
-    found = ws.keep(near_duplicates(docs, size=5, num=80, den=100).where("doc_id IS NOT NULL").select("doc_id", "kept"), "found")
-    twice = ws.keep(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")).where("n > 1"), "twice")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("h"))
+    found = ws.keep(near_duplicates(docs.select(key.alias("doc_id"), "text"), size=5, num=80, den=100).select("doc_id", "kept"), "found")
+    twice = ws.keep(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
     out = ws.keep(found.where("NOT kept").select("doc_id").distinct(), "out")
-    left = docs.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, "doc_id", "left_anti")
-    if not twice.isEmpty():
-        again = left.join(twice.select("doc_id"), "doc_id", "left_semi")
-        once = again.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r")).select("doc_id", "r.*")
-        left = left.join(twice.select("doc_id"), "doc_id", "left_anti").unionByName(once)
+    own = free_name(docs.columns, "key")
+    named = lambda d: d.withColumnRenamed("doc_id", own)
+    few = lambda d: F.broadcast(named(d)) if n_rows(d) <= BROADCAST_IDS else named(d)
+    left = docs.withColumn(own, key).join(few(out), own, "left_anti")
+    if n_rows(twice):
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        once = left.join(few(twice), own, "left_semi").groupBy(own).agg(F.min_by(whole, F.to_json(whole)).alias("r")).select("r.*")
+        left = left.join(few(twice), own, "left_anti").drop(own).unionByName(once)
     return left.select(*docs.columns)
 
 
@@ -45,12 +52,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without any 10-word window of the benchmark."""
+    """Rows without any 10-word window of the benchmark; null and empty texts have none and stay, repeated rows fare alike."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in sequences."""
+    """Pieces of at most 2048 tokens and their places in sequences; a null or empty text is its end token, every row a document."""
     return pack_documents(docs)
 
 
