@@ -11,6 +11,11 @@ from pyspark.sql.types import StringType
 
 from quern.functions.text import strip
 
+# --- fixed values -------------------------------------------------------------
+#: A number from 0 to below 2 that stands alone.
+UNIT_NUMBER = r"(?<![\d.])([01](?:\.\d+)?|\.\d+)(?![\d.])"
+# ------------------------------------------------------------------------------
+
 
 def json_object(text: Column, schema: str) -> Column:
     """From the first { to the last }, parsed; null if there is none or it does not parse."""
@@ -58,13 +63,24 @@ def tier_verdict(text: Column) -> Column:
     return F.when(v["tier"].isNotNull(), v)
 
 
+def _object_in(text: Column) -> Column:
+    """The text itself if it is one object from end to end, else the first balanced one in it."""
+    bare = F.coalesce(strip(text).rlike(r"(?s)^\{[^{}]*(\{[^{}]*\}[^{}]*)*\}$"), F.lit(False))
+    return F.when(bare, text).otherwise(balanced_json(F.when(~bare, text)))
+
+
+def parse_flag(text: Column) -> Column:
+    """The boolean of {"flag": bool}, with prose or fences about it; null for anything but a JSON boolean."""
+    return F.from_json(_object_in(text), "flag boolean")["flag"]
+
+
 def parse_flags(text: Column, n: Column) -> Column:
-    """n booleans from {"flags": [{"i": 1.., "flag": bool}, ...]}.
+    """n booleans from {"flags": [{"i": 1.., "flag": bool}, ...]}, with prose or fences about it.
 
     Null unless there are exactly n entries, each flag is a true JSON boolean and the
     numbers i are 1 to n, each once.
     """
-    flags = F.from_json(text, "flags array<struct<i:int,flag:boolean>>")["flags"]
+    flags = F.from_json(_object_in(text), "flags array<struct<i:int,flag:boolean>>")["flags"]
     numbers = F.sort_array(F.transform(flags, lambda e: e["i"]))
     whole = (F.size(flags) == n) & F.forall(flags, lambda e: e["flag"].isNotNull() & e["i"].isNotNull()) & (numbers == F.sequence(F.lit(1), F.greatest(n, F.lit(1))))
     put = F.transform(F.array_sort(F.transform(flags, lambda e: F.struct(e["i"].alias("i"), e["flag"].alias("flag")))), lambda e: e["flag"])
@@ -73,7 +89,7 @@ def parse_flags(text: Column, n: Column) -> Column:
 
 def unit_score(text: Column) -> Column:
     """The first number that stands alone and reads 0, 1, 0.x, 1.x or .x, if it is within 0 to 1."""
-    found = F.regexp_extract(strip(text), r"(?<![\d.])([01](?:\.\d+)?|\.\d+)(?![\d.])", 1)
+    found = F.regexp_extract(strip(text), UNIT_NUMBER, 1)
     v = F.when(found != "", found.cast("double"))
     return F.when((v >= 0) & (v <= 1), v)
 
@@ -101,11 +117,11 @@ def canonical_answer(text: Column, vocabulary: list[tuple[str, str]], refusal: s
     """The first entry (label, pattern) of an ordered vocabulary that the normalised text names.
 
     Patterns stand between non-word characters and may take a plural s; refusals come
-    first.  Texts are expected without punctuation (``answer_norm``).
+    first; case does not count.  Texts are expected without punctuation (``answer_norm``).
     """
-    out = F.when(text.rlike(refusal), none)
+    out = F.when(text.rlike(f"(?iu){refusal}"), none)
     for label, pattern in vocabulary:
-        out = out.when(text.rlike(rf"(?U)(?<!\w)(?:{pattern})s?(?!\w)"), label)
+        out = out.when(text.rlike(rf"(?iU)(?<!\w)(?:{pattern})s?(?!\w)"), label)
     return out.otherwise(other)
 
 

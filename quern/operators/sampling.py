@@ -6,6 +6,7 @@ All draws take the lowest keys of ``draw_key``; a single draw is a top-k
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,26 +53,27 @@ def shuffled_rank(df: DataFrame, seed: str, *, id: str = "id", by: list[str] | N
 def water_fill(mix: dict[str, int], available: dict[str, int], target: int, rounds: int = 50) -> dict[str, int]:
     """Rows to take of each source so that the total is ``target`` at the proportions of ``mix``.
 
-    Start: each source's rounded share, at most what it has.  What is missing is dealt to
-    sources that still have rows, by their shares, at least one each; an overshoot is taken
-    back from the source that is furthest over its share.  Sources not in ``mix`` give none.
+    A source's first quota is its rounded share (half to even), at most what it has.  A shortage
+    is spread over the sources with rows left, in proportion, whole rows and one at least, round
+    after round; what that gives too many is taken back, row by row, where the taken share
+    exceeds the wanted one most.  Sources not in ``mix`` give none.
     """
-    whole = sum(mix.values())
-    if not whole:
+    names, weight = list(mix), np.array(list(mix.values()), np.int64)
+    if not weight.sum():
         return {}
-    take = {s: min(round(target * w / whole), available.get(s, 0)) for s, w in mix.items()}
+    wanted = weight / weight.sum()
+    stock = np.array([available.get(s, 0) for s in names], np.int64)
+    quota = np.minimum(np.rint(target * weight / weight.sum()).astype(np.int64), stock)
     for _ in range(rounds):
-        missing = target - sum(take.values())
-        open_ = [s for s in mix if available.get(s, 0) > take[s]]
-        if missing <= 0 or not open_:
+        room, short = quota < stock, target - quota.sum()
+        if short <= 0 or not room.any():
             break
-        weight = sum(mix[s] for s in open_) or 1
-        for s in open_:
-            take[s] = min(available[s], take[s] + max(1, int(missing * mix[s] / weight)))
-    while (total := sum(take.values())) > target:
-        over = max((s for s in mix if take[s]), key=lambda s: take[s] / total - mix[s] / whole)
-        take[over] -= 1
-    return take
+        portion = np.floor(short * weight / max(1, weight[room].sum())).astype(np.int64)
+        quota = np.where(room, np.minimum(stock, quota + np.maximum(1, portion)), quota)
+    while quota.sum() > target:
+        excess = np.where(quota > 0, quota / quota.sum() - wanted, -np.inf)
+        quota[excess.argmax()] -= 1
+    return dict(zip(names, quota.tolist()))
 
 
 def balanced_sample(df: DataFrame, mix: DataFrame, target: int, seed: str, *, source: str = "source", id: str = "id") -> DataFrame:

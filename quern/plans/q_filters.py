@@ -162,9 +162,9 @@ def semi_join_controls(spark, d):
     return T.read(spark, d, "conversations").select("conv_id", "turn").join(T.read(spark, d, "labels").select(F.col("doc_id").alias("conv_id")), "conv_id", "left_semi")
 
 
-@query("WITH t AS (SELECT vec_id AS trial, [vec_id % 40, (vec_id * 7) % 40] AS idxs FROM embeddings WHERE vec_id < 50) SELECT trial, place::INT AS place, idxs[place] AS idx, length(b.text)::BIGINT AS n_chars FROM t, generate_series(1, 2) g(place), benchmark b WHERE b.item_id = idxs[place]")
+@query("WITH t AS (SELECT vec_id AS trial, [vec_id % 40, (vec_id * 7) % 40] AS idxs FROM embeddings) SELECT trial, place::INT AS place, idxs[place] AS idx, length(b.text)::BIGINT AS n_chars FROM t, generate_series(1, 2) g(place), benchmark b WHERE b.item_id = idxs[place]")
 def trial_row_lookup(spark, d):
-    trials = T.read(spark, d, "embeddings").where("vec_id < 50").select(F.col("vec_id").alias("trial"), F.array(F.col("vec_id") % 40, F.col("vec_id") * 7 % 40).alias("idxs"))
+    trials = T.read(spark, d, "embeddings").select(F.col("vec_id").alias("trial"), F.array(F.col("vec_id") % 40, F.col("vec_id") * 7 % 40).alias("idxs"))
     return joins.lookup_positions(trials, T.read(spark, d, "benchmark").select(F.col("item_id").alias("idx"), F.length("text").cast("long").alias("n_chars")))
 
 

@@ -30,17 +30,17 @@ def answer_norm(spark, d):
     return T.read(spark, d, "documents").select("doc_id", F.md5(text.answer_norm(F.col("text"))).alias("norm_md5"))
 
 
-_SLUG = "regexp_replace(regexp_replace(lower(substr(text, 1, 12)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_SLUG = "regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
 @query(f"SELECT doc_id, {_SLUG} AS slug FROM documents")
 def slug_names(spark, d):
-    return T.read(spark, d, "documents").select("doc_id", text.slug(F.substring("text", 1, 12)).alias("slug"))
+    return T.read(spark, d, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
-@query(f"SELECT doc_id, CASE WHEN r = 1 THEN slug ELSE slug || '-' || r END AS unique_slug FROM (SELECT doc_id, slug, row_number() OVER (PARTITION BY slug ORDER BY doc_id) AS r FROM (SELECT doc_id, {_SLUG.replace('12', '4')} AS slug FROM documents))")
+@query(f"SELECT doc_id, CASE WHEN r = 1 THEN slug ELSE slug || '-' || r END AS unique_slug FROM (SELECT doc_id, slug, row_number() OVER (PARTITION BY slug ORDER BY doc_id) AS r FROM (SELECT doc_id, {_SLUG} AS slug FROM documents))")
 def slug_collisions(spark, d):
-    rows = T.read(spark, d, "documents").select("doc_id", text.slug(F.substring("text", 1, 4)).alias("slug"))
+    rows = T.read(spark, d, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
     return ranking.number_collisions(rows, "slug", "doc_id").select("doc_id", "unique_slug")
 
 
@@ -49,9 +49,9 @@ def truncate_render(spark, d):
     return T.read(spark, d, "documents").select("doc_id", text.first_chars(F.col("text"), 40).alias("head"), F.format_string("PROMPT: %s\nRESPONSE: %s", F.substring("text", 1, 10), F.substring("text", 1, 30)).alias("rendered"))
 
 
-@query("SELECT doc_id, coalesce(regexp_matches(substr(text, 1, 200), '(?i)\\btranslat|\\b(in|into) (spanish|french|german|latin|greek)\\b'), false) OR coalesce(regexp_matches(text, '[\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{0400}-\\x{04FF}\\x{0600}-\\x{06FF}\\x{0900}-\\x{097F}]'), false) AS is_task FROM documents")
+@query("SELECT doc_id, coalesce(regexp_matches(text, '(?i)\\btranslat|\\b(in|into) (spanish|french|german|japanese|chinese|italian|russian|korean|portuguese|arabic|hindi|latin|greek|dutch|polish|swedish|turkish|hebrew)\\b'), false) OR coalesce(regexp_matches(text, '[\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{0400}-\\x{04FF}\\x{0600}-\\x{06FF}\\x{0900}-\\x{097F}]'), false) AS is_task FROM documents")
 def language_task_flag(spark, d):
-    return T.read(spark, d, "documents").select("doc_id", text.is_language_task(F.substring("text", 1, 200), F.col("text")).alias("is_task"))
+    return T.read(spark, d, "documents").select("doc_id", text.is_language_task(F.col("text"), F.col("text")).alias("is_task"))
 
 
 @query("SELECT doc_id, lower(regexp_replace(regexp_replace(source || ' _-' || lang, '^\\s+|\\s+$', '', 'g'), '[\\s_\\-]+', ' ', 'g')) AS name_key FROM documents")
@@ -75,11 +75,12 @@ def json_verdict_parse(spark, d):
     return T.read(spark, d, "events").select("event_id", parsing.json_object(reply, "k int")["k"].alias("k"), text.settings_hash(F.col("event_type")).alias("settings"))
 
 
-@query("SELECT event_id, 2::BIGINT AS n, (event_id % 7)::BIGINT AS first FROM events WHERE event_id % 5 = 0")
+@query("SELECT event_id, (event_id % 3 + 1)::BIGINT AS n, (event_id % 7)::BIGINT AS first FROM events")
 def json_array_parse(spark, d):
-    reply = F.concat(F.lit("so ["), (F.col("event_id") % 7).cast("string"), F.lit(", 2] ok"))
+    values = F.sequence(F.col("event_id") % 7, F.col("event_id") % 7 + F.col("event_id") % 3).cast("array<string>")
+    reply = F.concat(F.lit("so ["), F.array_join(values, ", "), F.lit("] ok"))
     parsed = parsing.json_array(reply, "array<bigint>")
-    return T.read(spark, d, "events").where("event_id % 5 = 0").select("event_id", F.size(parsed).cast("long").alias("n"), parsed[0].alias("first"))
+    return T.read(spark, d, "events").select("event_id", F.size(parsed).cast("long").alias("n"), parsed[0].alias("first"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN (event_id % 10) / 10.0::DOUBLE WHEN 1 THEN 1.0 WHEN 2 THEN NULL ELSE 0.5 END AS score FROM events")

@@ -51,7 +51,7 @@ def test_lexicon_pattern_is_the_flat_alternation(spark):
 
 @pytest.mark.parametrize(
     "value, want",
-    [("pi is 3.14!", "pi is 3.14"), ("at 10:30, go", "at 10:30 go"), ("it was -5.", "it was -5"), ("don't", "dont"), ("a `x.y` b.", "a `x.y` b"), ("```a.b;```\nc.", "```a.b;```\nc"), ("x = 1;\nok.", "x = 1;\nok."), ("a , b", "a b")],
+    [("pi is 3.14!", "pi is 3.14"), ("at 10:30, go", "at 10:30 go"), ("it was -5.", "it was -5"), ("don't", "dont"), ("a `x.y` b.", "a `x.y` b"), ("```a.b;```\nc.", "```a.b;```\nc"), ("x = 1;\nok.", "x = 1;\nok."), ("a , b", "a b"), ("return\nto sender.", "return\nto sender"), ("return x.", "return x."), ("none", "none"), (" é  x ", "é x"), ("", "")],
 )
 def test_strip_punct(spark, value, want):
     assert one(spark, value, text.strip_punct) == want
@@ -74,7 +74,7 @@ def test_normalize(spark, value, want):
 
 @pytest.mark.parametrize(
     "reply, want",
-    [('{"flags":[{"i":2,"flag":false},{"i":1,"flag":true}]}', [True, False]), ('{"flags":[{"i":1,"flag":"true"},{"i":2,"flag":false}]}', None), ('{"flags":[{"i":1,"flag":1},{"i":2,"flag":false}]}', None), ('{"flags":[{"i":1,"flag":true}]}', None), ('{"flags":[{"i":1,"flag":true},{"i":1,"flag":true}]}', None), ('{"flags":[{"i":3,"flag":true},{"i":1,"flag":true}]}', None), ("nothing", None)],
+    [('{"flags":[{"i":2,"flag":false},{"i":1,"flag":true}]}', [True, False]), ('{"flags":[{"i":1,"flag":"true"},{"i":2,"flag":false}]}', None), ('{"flags":[{"i":1,"flag":1},{"i":2,"flag":false}]}', None), ('{"flags":[{"i":1,"flag":true}]}', None), ('{"flags":[{"i":1,"flag":true},{"i":1,"flag":true}]}', None), ('{"flags":[{"i":3,"flag":true},{"i":1,"flag":true}]}', None), ("nothing", None), ('Sure: {"flags":[{"i":1,"flag":true},{"i":2,"flag":false}]} done {x}', [True, False]), ('```json\n{"flags":[{"i":2,"flag":true},{"i":1,"flag":true}]}\n```', [True, True])],
 )
 def test_flags(spark, reply, want):
     assert one(spark, reply, lambda c: parsing.parse_flags(c, F.lit(2))) == want
@@ -222,3 +222,29 @@ def test_judge_hook_turns_failures_into_nulls(spark):
 
     got = judge(spark.range(80).coalesce(1), fails, key="id", rows_per_call=40).groupBy("flag").count().collect()
     assert {r.flag: r["count"] for r in got} == {True: 20, False: 20, None: 40}
+
+
+@pytest.mark.parametrize("reply, want", [('{"flag": true}', True), ('I think {"flag": false}.', False), ('{"flag": "true"}', None), ('{"flag": 1}', None), ("no", None), (None, None)])
+def test_single_flag(spark, reply, want):
+    assert one(spark, reply, parsing.parse_flag) == want
+
+
+def test_strip_is_linear(spark):
+    import time
+
+    start = time.time()
+    assert one(spark, "\t a" + " " * 400_000 + "b \n", text.strip) == "a" + " " * 400_000 + "b"
+    assert time.time() - start < 20
+
+
+@pytest.mark.parametrize("value, want", [("i like cats", "cat"), ("an Arctic Fox", "arctic fox"), ("as an AI i cannot", "(no preference)"), ("foxes? fox", "fox"), ("cattle", "other")])
+def test_canonical_answer(spark, value, want):
+    vocabulary = [("arctic fox", "Arctic fox"), ("fox", "fox"), ("cat", "CAT")]
+    assert one(spark, value, lambda c: parsing.canonical_answer(c, vocabulary, "as an ai")) == want
+
+
+def test_water_fill_by_hand():
+    assert sampling.water_fill({"a": 50, "b": 30, "c": 20}, {"a": 100, "b": 3, "c": 100}, 40) == {"a": 26, "b": 3, "c": 11}
+    even = sampling.water_fill({"a": 1, "b": 1, "c": 1}, {"a": 9, "b": 9, "c": 9}, 10)
+    assert sorted(even.values()) == [3, 3, 4]
+    assert sampling.water_fill({}, {"a": 1}, 5) == {} and sampling.water_fill({"a": 2}, {}, 5) == {"a": 0}
