@@ -26,6 +26,11 @@ def with_twin(candidates: DataFrame, controls: DataFrame, *, on: str = "prompt",
     return candidates.join(one, on, "left")
 
 
+def with_deltas(rows: DataFrame, deltas: DataFrame, *, id: str = "idx", prompt: str = "prompt", values: str = "deltas") -> DataFrame:
+    """Rows with their token deltas, where id and prompt agree and there is more than one delta."""
+    return rows.join(deltas.where(F.size(values) > 1), [id, prompt])
+
+
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys that are not unique: the guard before a join that needs them to be."""
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")

@@ -25,6 +25,11 @@ def delta_max(deltas: Column, *, terminator: bool) -> Column:
     return F.array_max(deltas).cast("double") if terminator else F.when(F.size(deltas) > 1, F.array_max(F.slice(deltas, 1, F.greatest(F.size(deltas) - 1, F.lit(1))))).cast("double")
 
 
+def rounded_difference(a: Column, b: Column, digits: int = 4) -> Column:
+    """a - b, rounded half to even: the token value between two models."""
+    return F.bround(a.cast("double") - b.cast("double"), digits)
+
+
 def top_rows(df: DataFrame, score: str, k: int, *, idx: str = "idx", lowest: bool = False) -> DataFrame:
     """The k rows of highest (lowest) score; rows without one are not ranked."""
     order = F.asc(score) if lowest else F.desc(score)

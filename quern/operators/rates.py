@@ -80,6 +80,20 @@ def union_rates(verdicts: DataFrame, *, side: str = "side", row: str = "row_id",
     return rows.where("resolved").groupBy(side).agg(F.count("*").alias("rows"), F.count_if("hit").alias("hits"), pct(F.col("hit")).alias("rate"))
 
 
+def union_excess(verdicts: DataFrame, *, side: str = "side", pool: str = "pool", clean: str = "clean", **columns) -> DataFrame:
+    """One row: union rates of both sides over rows that all criteria resolved, and their difference."""
+    r = union_rates(verdicts, side=side, **columns)
+    of = lambda s: F.max(F.when(F.col(side) == s, F.col("rate")))
+    rows = lambda s: F.coalesce(F.max(F.when(F.col(side) == s, F.col("rows"))), F.lit(0))
+    return r.agg(rows(pool).alias("pool_rows"), rows(clean).alias("clean_rows"), of(pool).alias("pool_rate"), of(clean).alias("clean_rate"), (of(pool) - of(clean)).alias("excess"))
+
+
+def trailing_difference(points: DataFrame, value: str, order: str, *, by: list[str], lag: int = 2) -> DataFrame:
+    """Each checkpoint beside the one ``lag`` before it in its group: ``earlier`` and ``difference``; null at the start."""
+    earlier = F.lag(value, lag).over(Window.partitionBy(*by).orderBy(order))
+    return points.withColumn("earlier", earlier).withColumn("difference", F.col(value) - F.col("earlier"))
+
+
 def nearest_criterion(verdicts: DataFrame, *, criterion: str = "crit_id", order: str = "ord", row: str = "row_id", flag: str = "flag", least_flags: int = 5, least_common: int = 50) -> DataFrame:
     """For each criterion the earlier one with the highest Jaccard similarity of flag sets.
 

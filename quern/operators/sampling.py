@@ -25,8 +25,14 @@ def draw_exactly(df: DataFrame, k: int, seed: str, *, id: str = "id") -> DataFra
     return draw(df, k, seed, id=id)
 
 
-def draws(df: DataFrame, plan: list[tuple[int, str]], *, id: str = "id") -> DataFrame:
-    """All (size, seed) draws of a plan in one frame, with ``size`` and ``seed``; a draw each is a top-k."""
+def draws(df: DataFrame, plan: list[tuple[int, str]], *, id: str = "id", within_pool: bool = False) -> DataFrame:
+    """All (size, seed) draws of a plan in one frame, with ``size`` and ``seed``; a draw each is a top-k.
+
+    ``within_pool`` leaves out the draws of sizes that ``df`` has no rows for.
+    """
+    if within_pool:
+        pool = df.count()
+        plan = [(size, seed) for size, seed in plan if size <= pool] or [(0, plan[0][1])]
     out = None
     for size, seed in plan:
         one = draw(df, size, seed, id=id).withColumns({"size": F.lit(size), "seed": F.lit(seed)})
@@ -34,6 +40,30 @@ def draws(df: DataFrame, plan: list[tuple[int, str]], *, id: str = "id") -> Data
     return out
 
 
+def draw_remainder(df: DataFrame, dropped: DataFrame, k: int, seed: str, *, id: str = "id") -> DataFrame:
+    """k rows of what ``dropped(id)`` leaves of ``df``."""
+    return draw(df.join(dropped.select(id), id, "left_anti"), k, seed, id=id)
+
+
+def draw_like(start: DataFrame, pool: DataFrame, seed: str, *, id: str = "id") -> DataFrame:
+    """As many rows of ``start`` as ``pool`` has, or all: the unfiltered match of a filtered pool."""
+    return draw(start, min(pool.count(), start.count()), seed, id=id)
+
+
+def batches(pool: DataFrame, controls: DataFrame, n: int, size: int, n_controls: int, seed: str, *, id: str = "id") -> DataFrame:
+    """n batches of ``size`` rows of ``pool`` with ``n_controls`` fresh rows of ``controls`` each.
+
+    Adds ``batch`` (from 0) and ``control``.  Every batch has a seed of its own, so batches are
+    independent and one can be drawn again alone.
+    """
+    out = None
+    for b in range(n):
+        for rows, k, control in ((pool, size, False), (controls, n_controls, True)):
+            one = draw(rows, k, f"{seed}/{b}/{'control' if control else 'pool'}", id=id).withColumns({"batch": F.lit(b), "control": F.lit(control)})
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def split(df: DataFrame, n_train: int, seed: str, *, id: str = "id") -> DataFrame:
     """``part`` train for the first n_train of the seeded order, test for the rest."""
     train = draw(df, n_train, seed, id=id).select(F.col(id).alias("_t"))

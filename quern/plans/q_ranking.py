@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import ranking, sampling
+from quern.operators import joins, ranking, sampling
 from quern.plans import tables as T
 from quern.plans.registry import registry
 
@@ -183,3 +183,49 @@ def rotation_candidates(spark, d):
 def rotation_plan(spark, d):
     full = _full(spark, d)
     return ranking.rotation_plan(full, "total", 50, full.where("idx % 2 = 0"), eligible=full.where("idx % 5 = 1"), most=20)[0]
+
+
+@query("SELECT doc_id, size FROM (SELECT doc_id, size, row_number() OVER (PARTITION BY size ORDER BY md5('size' || size || '/' || doc_id), doc_id) AS r FROM documents, (VALUES (50), (1000000000)) s(size) WHERE size <= (SELECT count(*) FROM documents)) WHERE r <= size")
+def sample_within_pool(spark, d):
+    docs = T.read(spark, d, "documents").select("doc_id")
+    return sampling.draws(docs, [(k, f"size{k}") for k in (50, 1_000_000_000)], id="doc_id", within_pool=True).select("doc_id", "size")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) ORDER BY md5('uk/0.1/0/' || doc_id), doc_id LIMIT 40")
+def sample_of_remainder(spark, d):
+    dropped = T.read(spark, d, "labels").where("toxic = 1").select("doc_id")
+    return sampling.draw_remainder(T.read(spark, d, "documents").select("doc_id"), dropped, 40, "uk/0.1/0", id="doc_id")
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('full/' || doc_id), doc_id LIMIT (SELECT least((SELECT count(*) FROM labels WHERE quality = 1), (SELECT count(*) FROM documents)))")
+def sample_size_matched(spark, d):
+    return sampling.draw_like(T.read(spark, d, "documents").select("doc_id"), T.read(spark, d, "labels").where("quality = 1"), "full", id="doc_id")
+
+
+@query("""SELECT doc_id, batch, control FROM (
+  SELECT doc_id, batch, false AS control, row_number() OVER (PARTITION BY batch ORDER BY md5('bulk/' || batch || '/pool/' || doc_id), doc_id) AS r, 30 AS k FROM labels, (VALUES (0), (1), (2)) b(batch) WHERE toxic = 1
+  UNION ALL SELECT doc_id, batch, true, row_number() OVER (PARTITION BY batch ORDER BY md5('bulk/' || batch || '/control/' || doc_id), doc_id), 10 FROM labels, (VALUES (0), (1), (2)) b(batch) WHERE toxic = 0
+) WHERE r <= k""")
+def sample_batches_with_controls(spark, d):
+    labels = T.read(spark, d, "labels").select("doc_id", "toxic")
+    pool, controls = (labels.where(F.col("toxic") == y).select("doc_id") for y in (1, 0))
+    return sampling.batches(pool, controls, 3, 30, 10, "bulk", id="doc_id")
+
+
+@query("SELECT doc_id, trial FROM (SELECT doc_id, trial, row_number() OVER (PARTITION BY trial ORDER BY md5('uk_plain_20_' || trial || '/' || doc_id), doc_id) AS r FROM documents, (VALUES (0), (1), (2), (3)) t(trial)) WHERE r <= 20")
+def sample_trials(spark, d):
+    out = sampling.draws(T.read(spark, d, "documents").select("doc_id"), [(20, f"uk_plain_20_{t}") for t in range(4)], id="doc_id")
+    return out.select("doc_id", F.substring_index("seed", "_", -1).cast("int").alias("trial"))
+
+
+@query("SELECT e.vec_id AS idx, d.doc_id % 7 AS prompt, len(e.embedding)::BIGINT AS n FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id AND e.vec_id % 7 = d.doc_id % 5 WHERE e.vec_id % 3 <> 0")
+def rows_with_deltas(spark, d):
+    rows = T.read(spark, d, "documents").select(F.col("doc_id").alias("idx"), (F.col("doc_id") % 5).alias("prompt"), (F.col("doc_id") % 7).alias("shown"))
+    e = T.read(spark, d, "embeddings")
+    deltas = e.select(F.col("vec_id").alias("idx"), (F.col("vec_id") % 7).alias("prompt"), F.when(F.col("vec_id") % 3 != 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 1)).alias("deltas"))
+    return joins.with_deltas(rows, deltas).select("idx", F.col("shown").alias("prompt"), F.size("deltas").cast("long").alias("n"))
+
+
+@query("SELECT vec_id AS idx, round_even(embedding[1]::DOUBLE - embedding[2]::DOUBLE, 4) AS delta FROM embeddings")
+def model_difference(spark, d):
+    return T.read(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), ranking.rounded_difference(F.col("embedding")[0], F.col("embedding")[1]).alias("delta"))

@@ -184,3 +184,9 @@ def cross_tab_by_source(spark, d):
 
     n = T.read(spark, d, "documents").where(F.col("source").isin("src0", "src1", "src2")).groupBy("lang", "source").agg(F.count("*").alias("n"))
     return cross_tab(n, rows="lang", columns="source", value="n", first="src0")
+
+
+@query("SELECT event_type, hour, n, lag(n, 2) OVER (PARTITION BY event_type ORDER BY hour) AS earlier, n - lag(n, 2) OVER (PARTITION BY event_type ORDER BY hour) AS difference FROM (SELECT event_type, event_id // 1000 AS hour, count(*) AS n FROM events GROUP BY ALL)")
+def trailing_window(spark, d):
+    points = T.read(spark, d, "events").groupBy("event_type", F.floor(F.col("event_id") / 1000).alias("hour")).agg(F.count("*").alias("n"))
+    return rates.trailing_difference(points, "n", "hour", by=["event_type"])

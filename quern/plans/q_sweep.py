@@ -37,6 +37,14 @@ def criteria_union_rate(spark, d):
     return _round(rates.union_rates(T.verdicts(spark, d)), "rate")
 
 
+@query(T.with_(*_V) + """, r AS (SELECT side, count(*) AS n, avg(hit::INT) * 100.0 AS rate FROM (SELECT side, row_id, bool_and(flag IS NOT NULL) AS resolved, bool_or(coalesce(flag, false)) AS hit FROM verdicts GROUP BY side, row_id) WHERE resolved GROUP BY side)
+SELECT coalesce(max(n) FILTER (WHERE side = 'pool'), 0) AS pool_rows, coalesce(max(n) FILTER (WHERE side = 'clean'), 0) AS clean_rows, round(max(rate) FILTER (WHERE side = 'pool'), 6) AS pool_rate, round(max(rate) FILTER (WHERE side = 'clean'), 6) AS clean_rate,
+  round(max(rate) FILTER (WHERE side = 'pool') - max(rate) FILTER (WHERE side = 'clean'), 5) AS excess FROM r""")
+def criteria_union_excess(spark, d):
+    r = _round(rates.union_excess(T.verdicts(spark, d)), "pool_rate", "clean_rate")
+    return r.withColumn("excess", F.round("excess", 5))
+
+
 def _registry(spark, d):
     names = T.criteria(spark).select("crit_id", "ord", "round")
     r = rates.flag_rates(T.verdicts(spark, d)).join(names, "crit_id")
