@@ -33,6 +33,8 @@ def components(edges: DataFrame, ws: Workspace, name: str = "cc") -> DataFrame:
         nxt = now.join(one, "a").join(two, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         labels = twice if labels is None else follow(labels, few)
         now = ws.keep(nxt, f"{name}-edges{number}")
+    else:
+        raise RuntimeError("edges are left after 199 rounds")
     if labels is None:
         return edges.sparkSession.createDataFrame([], f"c {kind}, root {kind}")
     return ws.keep(labels, f"{name}-labels")

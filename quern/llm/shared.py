@@ -30,6 +30,8 @@ def base_dir(spark: SparkSession) -> str:
         found = sc._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="quern-checkpoint-")
         sc.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
