@@ -143,7 +143,11 @@ def judge_hook(spark, d):
 def stream_resume(spark, d):
     from quern.streaming.incremental import resume_stream
 
-    work = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quern-stream-")
+    work = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not work:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        work = "file://" + tempfile.mkdtemp(prefix="quern-stream-")
     import uuid
 
     work = f"{work}/quern-stream-{uuid.uuid4().hex[:8]}"
