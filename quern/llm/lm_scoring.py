@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, mapped by workers.
+"""Interpolated modified Kneser-Ney trigram model: counted in Spark, mapped by workers.
 
 Counting moves packed arrays, not rows: a task sums what it has read and sends each
 shard one sorted, delta-coded blob, so n-grams that one task sees often are one entry
@@ -6,12 +6,15 @@ and hot words cost no more than others.
 
 1. Words: shards by the top bits of a 64-bit hash; each writes its sorted hashes, counts
    and running totals.  A word's number is its place in the sorted hashes of all shards.
-2. Bigrams: key = number of the first word << 32 | number of the second.  The shard of a
-   key is where it would lie if words followed each other independently
-   (``total before w1 + count of w1 * share before w2``), so the bigrams of one frequent word
-   spread over many shards.  A shard writes its sorted keys and counts and sends on, by
-   word, the counts of counts behind it and the different words before it.
-3. Words again: sums of those give each word's continuation count and back-off weight.
+2. Trigrams: the numbers of three words; two beginnings stand before a text.  The shard
+   of a trigram is where it would lie if words followed each other independently
+   (``total before w1 + count of w1 * (share before w2 + share of w2 * share before w3)``),
+   so neither a frequent word nor a frequent pair lies in one shard.  A shard writes its
+   sorted contexts, keys (place of the context << 32 | number of w3) and counts, and sends
+   on, by pair, the counts of counts behind a context and the different words before a pair.
+3. Pairs: sums of those are the back-off weights of contexts and the continuation counts of
+   pairs, which are counted in turn behind and before each word.
+4. Words again: sums give each word's continuation count and back-off weight.
 
 Scoring maps all shard files (``numpy.memmap``) and looks sorted keys up by binary search.
 """
@@ -41,10 +44,13 @@ END_HASH, BEGIN_HASH = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"", b"
 WORD_SHARDS, SHARD_BYTES = 64, 256 << 20
 #: A stored count that stands for itself or more.
 FULL = 2**32 - 1
-#: Bigram tokens of a shard, and the most and fewest shards.
+#: Training tokens of a shard of pairs and trigrams, and the most and fewest shards.
 SHARD_TOKENS, MIN_SHARDS, MAX_SHARDS = 1_000_000, 64, 65_536
 #: Entries a counting task holds before it sends its blobs.
 HELD = 3_000_000
+#: Low half of a key of two numbers.
+LOW = np.uint64(2**32 - 1)
+HALF = np.uint64(32)
 
 
 def _write(path: str, a: np.ndarray) -> None:
@@ -90,15 +96,17 @@ class Model:
                 out[at] = np.where(known[p] == hashes[at], p + self.base[s], -1)
         return out
 
-    def by_word(self, name: str, numbers: np.ndarray, dtype: str) -> np.ndarray:
-        """Values of a word array; 0 for number -1."""
-        out = np.zeros(len(numbers), np.dtype(dtype))
-        shard = np.searchsorted(self.base, numbers, side="right") - 1
-        for s in np.unique(shard[numbers >= 0]).tolist():
-            at = np.flatnonzero((shard == s) & (numbers >= 0))
-            values = self.array(name, s, dtype)
-            out[at] = values[numbers[at] - self.base[s]]
-        return out
+    def by_word(self, name: str, numbers: np.ndarray, dtype: str, width: int = 1) -> np.ndarray:
+        """Values of a word array, ``width`` a word; 0 for number -1."""
+        out = np.zeros((len(numbers), width), np.dtype(dtype))
+        order = np.argsort(numbers, kind="stable")
+        cut = np.searchsorted(numbers[order], self.base)
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            at = order[cut[s] : cut[s + 1]]
+            values = self.array(name, s, dtype).reshape(-1, width)
+            if len(values):
+                out[at] = values[numbers[at] - self.base[s]]
+        return out if width > 1 else out[:, 0]
 
     def spread(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(share of tokens before each word, share of the word)."""
@@ -107,24 +115,43 @@ class Model:
         shard = np.maximum(np.searchsorted(self.base, numbers, side="right") - 1, 0)
         return (self.tokens_before[shard] + self.by_word("before", numbers, "<i8")) / n, count / n
 
-    def bigram_counts(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
-        """Counts of sorted keys."""
-        out = np.zeros(len(keys), np.int64)
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(self.manifest["bigram_shards"] + 1))
-        for s in np.flatnonzero(np.diff(cut)).tolist():
-            at = order[cut[s] : cut[s + 1]]
-            known = self.array("bigram", s, "<u8")
+    def by_pair(self, name: str, keys: np.ndarray, shard: np.ndarray, dtype: str, width: int = 1) -> np.ndarray:
+        """Values of pairs, ``width`` a pair, whose sorted keys lie beside; 0 for pairs not there."""
+        out = np.zeros((len(keys), width), np.int64)
+        for s, at in _groups(shard):
+            known = self.array(name + "_key", s, "<u8")
             if len(known):
                 p = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
-                out[at] = np.where(known[p] == keys[at], self.array("bigram_count", s, "<u4")[p], 0)
-                full = np.flatnonzero(out[at] == FULL)
-                if len(full):  # counts beyond 32 bits lie beside
-                    over = self.array("bigram_over", s, "<i8").reshape(-1, 2)
-                    out[at[full]] = over[np.searchsorted(over[:, 0], p[full]), 1]
+                out[at] = np.where((known[p] == keys[at])[:, None], self.array(name, s, dtype).reshape(-1, width)[p], 0)
+        return out if width > 1 else out[:, 0]
+
+    def trigram_counts(self, context: np.ndarray, last: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """Counts of trigrams given as keys of their first two words and numbers of their last."""
+        out = np.zeros(len(context), np.int64)
+        for s, at in _groups(shard):
+            contexts, known = self.array("context_of", s, "<u8"), self.array("trigram", s, "<u8")
+            if not len(known):
+                continue
+            r = np.minimum(np.searchsorted(contexts, context[at]), len(contexts) - 1)
+            key = r.astype(np.uint64) << HALF | last[at].astype(np.uint64)
+            p = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            found = (contexts[r] == context[at]) & (known[p] == key)
+            out[at] = np.where(found, self.array("trigram_count", s, "<u4")[p], 0)
+            full = np.flatnonzero(out[at] == FULL)
+            if len(full):  # counts beyond 32 bits lie beside
+                over = self.array("trigram_over", s, "<i8").reshape(-1, 2)
+                out[at[full]] = over[np.searchsorted(over[:, 0], p[full]), 1]
         return out
 
 
+def _groups(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard with the places that name it."""
+    order = np.argsort(shard, kind="stable")
+    cut = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)]):
+        yield int(shard[order[a]]), order[a:b]
+
+
 @lru_cache(maxsize=2)
 def open_model(folder: str, stage: str = "finished") -> Model:
     """A worker's handle to a model; at stage "words" it has the word arrays alone."""
@@ -192,83 +219,138 @@ def _count_words(folder: str, shards: int):
     return count, merge
 
 
-def _key_shards(model: Model, a1: np.ndarray, b1: np.ndarray, a2: np.ndarray) -> np.ndarray:
-    s = model.manifest["bigram_shards"]
-    return np.minimum(((a1 + b1 * a2) * s).astype(np.int64), s - 1)
+def _shards(model: Model, a1: np.ndarray, b1: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    s = model.manifest["gram_shards"]
+    return np.clip(((a1 + b1 * rest) * s).astype(np.int64), 0, s - 1)
+
 
+def _pair_shards(model: Model, keys: np.ndarray) -> np.ndarray:
+    """Shard of each pair; every step computes it here, from the key alone."""
+    words, at = np.unique(np.concatenate([keys >> HALF, keys & LOW]).astype(np.int64), return_inverse=True)
+    a, b = model.spread(words)
+    w1, w2 = at[: len(keys)], at[len(keys) :]
+    return _shards(model, a[w1], b[w1], a[w2])
 
-def _bigrams_of(model: Model, column: pa.Array, need_all: bool):
-    """Distinct keys of a slice with their shards, counts, and the way back to the tokens."""
+
+def _grams(column: pa.Array):
+    """A slice's hashes (the last is BEGIN), ids and tokens a row; its distinct pairs (the last
+    is two beginnings); pair that ends at and pair that stands before each token."""
     h, ids, n = word_hash_slice(column)
-    h = np.append(h, BEGIN_HASH)
-    numbers = model.numbers(h)
+    begin = len(h)
+    starts = np.cumsum(n) - n
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
-    before[np.cumsum(n) - n] = len(h) - 1
-    key = numbers[before].astype(np.uint64) << np.uint64(32) | numbers[ids].astype(np.uint64)
-    a, b = model.spread(numbers)
-    if need_all:
-        return h, ids, before, n, numbers, a, b
-    keys, first, c = np.unique(key, return_index=True, return_counts=True)
-    return keys, _key_shards(model, a[before[first]], b[before[first]], a[ids[first]]), c
+    before[starts] = begin
+    pairs, ends = np.unique(before.astype(np.uint64) << HALF | ids.astype(np.uint64), return_inverse=True)
+    context = np.empty_like(ends)
+    context[1:] = ends[:-1]
+    context[starts] = len(pairs)
+    return np.append(h, BEGIN_HASH), ids, n, np.append(pairs, np.uint64(begin << 32 | begin)), ends, context
 
 
-def _count_bigrams(folder: str):
+def _in_numbers(numbers: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Keys of pairs of known words."""
+    return numbers[pairs >> HALF].astype(np.uint64) << HALF | numbers[pairs & LOW].astype(np.uint64)
+
+
+def _sum_trigrams(context: np.ndarray, last: np.ndarray, values: np.ndarray):
+    """(sorted distinct contexts, keys of place in them << 32 | last word, sums)."""
+    contexts, place = np.unique(context, return_inverse=True)
+    return contexts, *sum_by_key([place.astype(np.uint64) << HALF | last.astype(np.uint64)], [values])
+
+
+def _count_trigrams(folder: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = open_model(folder, "words")
-        keys, shards, values, held = [], [], [], 0
+        held: list[tuple] = []
 
         def flush():
-            k, c = sum_by_key(keys, values)
-            # the shard of a key depends on the key alone: take that of its first occurrence
-            ks = np.concatenate(keys)
-            _, first = np.unique(ks, return_index=True)
-            s = np.concatenate(shards)[first]
-            keys.clear(), shards.clear(), values.clear()
-            yield from send(blobs(s, k, c))
+            context, last, shard, c = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            for s, at in _groups(shard):
+                contexts, key, sums = _sum_trigrams(context[at], last[at], c[at])
+                yield s, pack_sorted(contexts[key >> HALF]), pack_values(np.concatenate([(key & LOW).astype(np.int64), sums]))
 
         for b in slices(batches, "text"):
-            k, s, c = _bigrams_of(model, b.column(0), False)
-            keys.append(k)
-            shards.append(s.astype(np.int32))
-            values.append(c)
-            held += len(k)
-            if held >= HELD:
-                yield from flush()
-                held = 0
-        if keys:
-            yield from flush()
+            h, ids, _, pairs, _, before = _grams(b.column(0))
+            numbers = model.numbers(h)
+            share, own = model.spread(numbers)
+            key, c = np.unique(before.astype(np.uint64) << HALF | ids.astype(np.uint64), return_counts=True)
+            pair, last = pairs[key >> HALF], key & LOW
+            w1, w2 = pair >> HALF, pair & LOW
+            shard = _shards(model, share[w1], own[w1], share[w2] + own[w2] * share[last])
+            held.append((_in_numbers(numbers, pairs)[key >> HALF], numbers[last].astype(np.uint32), shard.astype(np.int32), c))
+            if sum(len(x[0]) for x in held) >= HELD:
+                yield from send(flush())
+        if held:
+            yield from send(flush())
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = open_model(folder, "words")
-        words = len(model.manifest["words"])
+        shards = model.manifest["gram_shards"]
         for s, keys, values in by_shard(batches):
-            k, c = sum_by_key([unpack_sorted(x) for x in keys], [unpack_values(x) for x in values])
-            _write(os.path.join(folder, f"bigram-{s:05d}"), k.astype("<u8"))
-            _write(os.path.join(folder, f"bigram_count-{s:05d}"), np.minimum(c, FULL).astype("<u4"))
+            values = [unpack_values(x).reshape(2, -1) for x in values]
+            contexts, key, c = _sum_trigrams(np.concatenate([unpack_sorted(x) for x in keys]), *np.concatenate(values, 1))
+            _write(os.path.join(folder, f"context_of-{s:05d}"), contexts.astype("<u8"))
+            _write(os.path.join(folder, f"trigram-{s:05d}"), key.astype("<u8"))
+            _write(os.path.join(folder, f"trigram_count-{s:05d}"), np.minimum(c, FULL).astype("<u4"))
             over = np.flatnonzero(c >= FULL)
-            _write(os.path.join(folder, f"bigram_over-{s:05d}"), np.stack([over, c[over]], 1).astype("<i8"))
-            w1, w2 = (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], w1[1:] != w1[:-1]]))
-            stat = np.add.reduceat(np.stack([c == 1, c == 2, c >= 3, c], 1).astype(np.int64), first, axis=0)
-            # behind: kind 0; before: kind 1; both go to the shard of the word
-            u2, n2 = np.unique(w2, return_counts=True)
-            u1 = w1[first]
-            yield from send(blobs(np.searchsorted(model.base, u1, side="right") - 1, u1.astype(np.uint64), stat))
-            yield from send(blobs(np.searchsorted(model.base, u2, side="right") - 1 + words, u2.astype(np.uint64), n2))
+            if len(over):
+                _write(os.path.join(folder, f"trigram_over-{s:05d}"), np.stack([over, c[over]], 1).astype("<i8"))
+            # behind a context: shards from 0; before a pair: shards beyond those
+            place = key >> HALF
+            pairs, different = np.unique((contexts & LOW)[place] << HALF | key & LOW, return_counts=True)
+            yield from send(blobs(_pair_shards(model, contexts), contexts, _classes(c, np.flatnonzero(np.diff(place, prepend=np.uint64(2**63))))))
+            yield from send(blobs(_pair_shards(model, pairs) + shards, pairs, different))
             # counts of counts, by the way: shard -1
             yield from send(iter([(-1, pack_sorted(np.arange(4)), pack_values(np.array(_counts_of_counts(c))))]))
 
     return count, merge
 
 
+def _classes(c: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each run of counts: how many are 1, 2, more, and their sum."""
+    return np.add.reduceat(np.stack([c == 1, c == 2, c >= 3, c], 1).astype(np.int64), first, axis=0)
+
+
+def _merge_pairs(folder: str):
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = open_model(folder, "words")
+        words, shards = len(model.manifest["words"]), model.manifest["gram_shards"]
+        for s, keys, values in by_shard(batches):
+            width = 4 if 0 <= s < shards else 1
+            k, c = sum_by_key([unpack_sorted(x) for x in keys], [unpack_values(x).reshape(-1, width) for x in values])
+            if s < 0:
+                yield from send(iter([(s, pack_sorted(k), pack_values(c.ravel()))]))
+            elif s < shards:
+                _write(os.path.join(folder, f"context_key-{s:05d}"), k.astype("<u8"))
+                _write(os.path.join(folder, f"context-{s:05d}"), c.astype("<i8"))
+            else:
+                s, c = s - shards, c[:, 0]
+                _write(os.path.join(folder, f"pair_key-{s:05d}"), k.astype("<u8"))
+                _write(os.path.join(folder, f"pair-{s:05d}"), c.astype("<u4"))
+                # behind a word: shards from 0; before a word: shards beyond those
+                w1 = k >> HALF
+                first = np.flatnonzero(np.diff(w1, prepend=np.uint64(2**63)))
+                w2, different = np.unique(k & LOW, return_counts=True)
+                yield from send(blobs(_word_shards(model, w1[first]), w1[first], _classes(c, first)))
+                yield from send(blobs(_word_shards(model, w2) + words, w2, different))
+                yield from send(iter([(-2, pack_sorted(np.arange(4)), pack_values(np.array(_counts_of_counts(c))))]))
+
+    return merge
+
+
+def _word_shards(model: Model, numbers: np.ndarray) -> np.ndarray:
+    return np.searchsorted(model.base, numbers.astype(np.int64), side="right") - 1
+
+
 def _merge_words(folder: str):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = open_model(folder, "words")
         words = len(model.manifest["words"])
         out = []
         for s, keys, values in by_shard(batches):
-            if s == -1:
+            if s < 0:
                 k, v = sum_by_key([unpack_sorted(x) for x in keys], [unpack_values(x) for x in values])
                 out.append((s, *v.tolist(), 0, 0))
             elif s < words:
@@ -307,7 +389,7 @@ def train(df: DataFrame, ws: Workspace, *, text: str = "text") -> str:
     if vocabulary >= 2**32:
         raise ValueError("more distinct words than 32 bits number")
     total = sum(manifest["tokens"])
-    manifest["bigram_shards"] = int(min(MAX_SHARDS, max(MIN_SHARDS, math.ceil(total / SHARD_TOKENS))))
+    manifest["gram_shards"] = int(min(MAX_SHARDS, max(MIN_SHARDS, math.ceil(total / SHARD_TOKENS))))
 
     def save(stage: str) -> None:
         replace_file(os.path.join(folder, f"{stage}.json"), [json.dumps(manifest).encode()])
@@ -315,28 +397,38 @@ def train(df: DataFrame, ws: Workspace, *, text: str = "text") -> str:
     save("words")
     first = Model(folder, manifest)
     begins = int(first.by_word("count", first.numbers(np.array([BEGIN_HASH])), "<i8")[0])
-    count, merge = _count_bigrams(folder)
-    by_word = dealt(src.mapInArrow(count, BLOB)).mapInArrow(merge, BLOB)
+    count, merge = _count_trigrams(folder)
+    by_pair = dealt(src.mapInArrow(count, BLOB)).mapInArrow(merge, BLOB)
+    by_word = dealt(by_pair).mapInArrow(_merge_pairs(folder), BLOB)
     rows = dealt(by_word).mapInArrow(_merge_words(folder), "shard long, c1 long, c2 long, c3 long, c4 long, some long, total long").collect()
-    raw, cont, some, pairs = [0] * 4, [0] * 4, 0, 0
+    raw, middle, cont, some, pairs = [0] * 4, [0] * 4, [0] * 4, 0, 0
     for r in rows:
         c = [r.c1, r.c2, r.c3, r.c4]
         if r.shard == -1:
             raw = [a + b for a, b in zip(raw, c)]
+        elif r.shard == -2:
+            middle = [a + b for a, b in zip(middle, c)]
         else:
             cont, some, pairs = [a + b for a, b in zip(cont, c)], some + r.some, pairs + r.total
     manifest |= {
         "begins": begins, "n": total - begins, "v": max(0, vocabulary - (1 if begins else 0)), "pairs": pairs,
-        "discounts": discounts(raw), "word_discounts": discounts(cont), "word_classes": [cont[0], cont[1], some - cont[0] - cont[1]],
+        "discounts": discounts(raw), "pair_discounts": discounts(middle), "word_discounts": discounts(cont), "word_classes": [cont[0], cont[1], some - cont[0] - cont[1]],
     }
     save("finished")
     return folder
 
 
+def _backoff(behind: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Total count behind each context (1 at least) and the share its discounts leave; all where nothing follows."""
+    total = np.maximum(behind[:, 3], 1)
+    return total, np.where(behind[:, 3] > 0, (behind[:, :3] @ d[1:]) / total, 1.0)
+
+
 def score_column(model: Model, column: pa.Array) -> dict[str, np.ndarray]:
     """n_tokens, n_known, base_score and score of each row."""
     m = model.manifest
-    h, ids, before, n, numbers, a, b = _bigrams_of(model, column, True)
+    h, ids, n, pairs, ends, context = _grams(column)
+    numbers = model.numbers(h)
     count = model.by_word("count", numbers, "<i8")
     count[-1] = 0  # the beginning is never a token
     base = np.log10((count + 1) / (m["n"] + 1 * (m["v"] + 1)))
@@ -348,24 +440,29 @@ def score_column(model: Model, column: pa.Array) -> dict[str, np.ndarray]:
         single = np.maximum(cont - np.array([0.0, *d])[np.minimum(cont, 3)], 0) / m["pairs"] + free / (m["v"] + 1)
     else:
         single = np.full(len(h), 1 / (m["v"] + 1))
-    # pairs
-    shard_of = np.maximum(np.searchsorted(model.base, numbers, side="right") - 1, 0)
-    behind = np.zeros((len(h), 4), np.int64)
-    for s in np.unique(shard_of[numbers >= 0]).tolist():
-        at = np.flatnonzero((shard_of == s) & (numbers >= 0))
-        table = model.array("behind", s, "<i8").reshape(-1, 4)
-        if len(table):
-            behind[at] = table[numbers[at] - model.base[s]]
-    total = np.maximum(behind[:, 3], 1)
+    # pairs: continuation counts
+    w1, w2 = pairs >> HALF, pairs & LOW
+    known = np.flatnonzero((numbers[w1] >= 0) & (numbers[w2] >= 0))
+    keys = _in_numbers(numbers, pairs[known])
+    shard = _pair_shards(model, keys)
+    c, behind = np.zeros(len(pairs), np.int64), np.zeros((len(pairs), 4), np.int64)
+    c[known], behind[known] = model.by_pair("pair", keys, shard, "<u4"), model.by_pair("context", keys, shard, "<i8", 4)
+    d = np.array([0.0, *m["pair_discounts"]])
+    total, backoff = _backoff(model.by_word("behind", numbers, "<i8", 4), d)
+    double = np.maximum(c - d[np.minimum(c, 3)], 0) / total[w1] + backoff[w1] * single[w2]
+    # trigrams: counts
+    key, at = np.unique(context.astype(np.uint64) << HALF | ids.astype(np.uint64), return_inverse=True)
+    place, last = key >> HALF, key & LOW
+    seen = np.flatnonzero((behind[place, 3] > 0) & (numbers[last] >= 0))
+    pair, last = pairs[place[seen]], last[seen]
+    share, own = model.spread(numbers)
+    shard = _shards(model, share[pair >> HALF], own[pair >> HALF], share[pair & LOW] + own[pair & LOW] * share[last])
+    c = np.zeros(len(key), np.int64)
+    c[seen] = model.trigram_counts(_in_numbers(numbers, pair), numbers[last], shard)
+    c = c[at]
     d = np.array([0.0, *m["discounts"]])
-    backoff = np.where(behind[:, 3] > 0, (behind[:, :3] @ d[1:]) / total, 1.0)
-    seen = np.flatnonzero((numbers[before] >= 0) & (numbers[ids] >= 0))
-    key = numbers[before[seen]].astype(np.uint64) << np.uint64(32) | numbers[ids[seen]].astype(np.uint64)
-    keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    first = seen[first]
-    c = np.zeros(len(ids), np.int64)
-    c[seen] = model.bigram_counts(keys, _key_shards(model, a[before[first]], b[before[first]], a[ids[first]]))[inverse]
-    p = np.maximum(c - d[np.minimum(c, 3)], 0) / total[before] + backoff[before] * single[ids]
+    total, backoff = _backoff(behind, d)
+    p = np.maximum(c - d[np.minimum(c, 3)], 0) / total[context] + backoff[context] * double[ends]
     rows = np.repeat(np.arange(len(n)), n)
     sums = lambda x: np.bincount(rows, weights=x, minlength=len(n))
     return {"n_tokens": n, "n_known": sums(count[ids] > 0).astype(np.int64), "base_score": sums(base[ids]), "score": sums(np.log10(p))}

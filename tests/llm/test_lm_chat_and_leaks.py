@@ -24,34 +24,38 @@ NULL, END, BEGIN = None, "<end>", "<begin>"
 
 class Brute:
     def __init__(self, texts):
-        self.one, self.two = Counter(), Counter()
+        self.one, self.three = Counter(), Counter()
         for t in texts:
             w = self.tokens(t)
             self.one.update(w)
-            self.two.update(zip([BEGIN, *w], w))
+            self.three.update(zip([BEGIN, BEGIN, *w], [BEGIN, *w], w))
         self.n, self.v = sum(self.one.values()), len(self.one)
-        self.behind, self.cont = defaultdict(lambda: [0, 0, 0, 0]), Counter()
-        for (a, b), c in self.two.items():
-            self.behind[a][min(c, 3) - 1] += 1
-            self.behind[a][3] += c
-            self.cont[b] += 1
-        count = lambda x: [sum(v == k for v in x) for k in (1, 2, 3, 4)]
-        self.d, self.e = lm_scoring.discounts(count(self.two.values())), lm_scoring.discounts(count(self.cont.values()))
+        self.two = Counter(x[1:] for x in self.three)
+        self.cont = Counter(x[1] for x in self.two)
+        self.behind = defaultdict(lambda: [0, 0, 0, 0])
+        for grams in (self.three, self.two):
+            for x, c in grams.items():
+                self.behind[x[:-1]][min(c, 3) - 1] += 1
+                self.behind[x[:-1]][3] += c
+        count = lambda x: [sum(v == k for v in x.values()) for k in (1, 2, 3, 4)]
+        self.d = {k: lm_scoring.discounts(count(x)) for k, x in ((1, self.cont), (2, self.two), (3, self.three))}
         self.pairs = sum(self.cont.values())
-        self.free = sum(self.e[min(c, 3) - 1] for c in self.cont.values()) / self.pairs if self.pairs else 1
+        self.free = sum(self.d[1][min(c, 3) - 1] for c in self.cont.values()) / self.pairs if self.pairs else 1
 
     def tokens(self, t):
         return [*SPACE_WORD.findall((t or "").translate(LOWER)), END]
 
     def single(self, w):
         c = self.cont[w]
-        return (max(c - self.e[min(c, 3) - 1], 0) / self.pairs if c else 0) + self.free / (self.v + 1)
+        return (max(c - self.d[1][min(c, 3) - 1], 0) / self.pairs if c else 0) + self.free / (self.v + 1)
 
-    def pair(self, a, b):
-        if a not in self.behind:
-            return self.single(b)
-        x, c = self.behind[a], self.two[a, b]
-        return (max(c - self.d[min(c, 3) - 1], 0) if c else 0) / x[3] + sum(p * q for p, q in zip(self.d, x)) / x[3] * self.single(b)
+    def after(self, *gram):
+        if len(gram) == 1:
+            return self.single(*gram)
+        if gram[:-1] not in self.behind:
+            return self.after(*gram[1:])
+        x, c, d = self.behind[gram[:-1]], (self.two if len(gram) == 2 else self.three)[gram], self.d[len(gram)]
+        return (max(c - d[min(c, 3) - 1], 0) if c else 0) / x[3] + sum(p * q for p, q in zip(d, x)) / x[3] * self.after(*gram[1:])
 
 
 def test_model_equals_brute_force(spark):
@@ -67,9 +71,9 @@ def test_model_equals_brute_force(spark):
         r = got[d, len(w)]
         assert (r.held_out, r.train_tokens, r.n_known) == (held(d), m.n, sum(m.one[x] > 0 for x in w))
         assert r.base_score == pytest.approx(sum(math.log10((m.one[x] + 1) / (m.n + m.v + 1)) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(m.pair(a, b)) for a, b in zip([BEGIN, *w], w)))
-    for a in (BEGIN, v[0], "unknown"):
-        assert sum(m.pair(a, w) for w in m.one) + m.pair(a, "neverever") == pytest.approx(1)
+        assert r.score == pytest.approx(sum(math.log10(m.after(*x)) for x in zip([BEGIN, BEGIN, *w], [BEGIN, *w], w)))
+    for a in ((BEGIN, BEGIN), (BEGIN, v[0]), (v[0], v[1]), ("unknown", v[0]), (v[0], "unknown")):
+        assert sum(m.after(*a, w) for w in m.one) + m.after(*a, "neverever") == pytest.approx(1)
 
 
 def test_model_of_nothing(spark):
