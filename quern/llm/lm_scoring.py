@@ -43,7 +43,7 @@ END_HASH, BEGIN_HASH = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"", b"
 #: Word shards of a small table, and bytes of the table a shard beyond that; powers of two.
 WORD_SHARDS, SHARD_BYTES = 64, 256 << 20
 #: A stored count that stands for itself or more.
-FULL = 2**32 - 1
+FULL = 255
 #: Training tokens of a shard of pairs and trigrams, and the most and fewest shards.
 SHARD_TOKENS, MIN_SHARDS, MAX_SHARDS = 1_000_000, 64, 65_536
 #: Entries a counting task holds before it sends its blobs.
@@ -57,6 +57,21 @@ def _write(path: str, a: np.ndarray) -> None:
     replace_file(path, [np.ascontiguousarray(a)])
 
 
+def _code_type(rows: int) -> str:
+    return "<u2" if rows <= 1 << 16 else "<u4"
+
+
+def _write_coded(folder: str, name: str, shard: int, a: np.ndarray) -> None:
+    """The distinct rows of ``a`` and the place of each row among them: most rows are small and alike."""
+    code = np.zeros(len(a), np.int64)
+    for column in a.T:
+        values, rank = np.unique(column, return_inverse=True)
+        code = np.unique(code * len(values) + rank, return_inverse=True)[1]
+    first = np.unique(code, return_index=True)[1]
+    _write(os.path.join(folder, f"{name}_row-{shard:05d}"), a[first].astype("<i8"))
+    _write(os.path.join(folder, f"{name}-{shard:05d}"), code.astype(_code_type(len(first))))
+
+
 @dataclass
 class Model:
     """The mapped arrays of a model folder; ``manifest`` holds sizes and discounts."""
@@ -96,17 +111,34 @@ class Model:
                 out[at] = np.where(known[p] == hashes[at], p + self.base[s], -1)
         return out
 
-    def by_word(self, name: str, numbers: np.ndarray, dtype: str, width: int = 1) -> np.ndarray:
-        """Values of a word array, ``width`` a word; 0 for number -1."""
-        out = np.zeros((len(numbers), width), np.dtype(dtype))
+    def by_word(self, name: str, numbers: np.ndarray, dtype: str) -> np.ndarray:
+        """Values of a word array; 0 for number -1."""
+        out = np.zeros(len(numbers), np.dtype(dtype))
+        for s, at in self._word_shards(numbers):
+            values = self.array(name, s, dtype)
+            if len(values):
+                out[at] = values[numbers[at] - self.base[s]]
+        return out
+
+    def behind(self, numbers: np.ndarray) -> np.ndarray:
+        """Classes and sum of the counts behind each word; 0 for number -1."""
+        out = np.zeros((len(numbers), 4), np.int64)
+        for s, at in self._word_shards(numbers):
+            codes, rows = self.coded("behind", s, 4)
+            if len(codes):
+                out[at] = rows[codes[numbers[at] - self.base[s]]]
+        return out
+
+    def coded(self, name: str, shard: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """What ``_write_coded`` wrote: codes and the rows they stand for."""
+        rows = self.array(name + "_row", shard, "<i8").reshape(-1, width)
+        return self.array(name, shard, _code_type(len(rows))), rows
+
+    def _word_shards(self, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(numbers, kind="stable")
         cut = np.searchsorted(numbers[order], self.base)
         for s in np.flatnonzero(np.diff(cut)).tolist():
-            at = order[cut[s] : cut[s + 1]]
-            values = self.array(name, s, dtype).reshape(-1, width)
-            if len(values):
-                out[at] = values[numbers[at] - self.base[s]]
-        return out if width > 1 else out[:, 0]
+            yield s, order[cut[s] : cut[s + 1]]
 
     def spread(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(share of tokens before each word, share of the word)."""
@@ -115,15 +147,16 @@ class Model:
         shard = np.maximum(np.searchsorted(self.base, numbers, side="right") - 1, 0)
         return (self.tokens_before[shard] + self.by_word("before", numbers, "<i8")) / n, count / n
 
-    def by_pair(self, name: str, keys: np.ndarray, shard: np.ndarray, dtype: str, width: int = 1) -> np.ndarray:
-        """Values of pairs, ``width`` a pair, whose sorted keys lie beside; 0 for pairs not there."""
-        out = np.zeros((len(keys), width), np.int64)
+    def pairs(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """Of each pair the different words before it, and the classes and sum of the counts behind it."""
+        out = np.zeros((len(keys), 5), np.int64)
         for s, at in _groups(shard):
-            known = self.array(name + "_key", s, "<u8")
+            known = self.array("pair_key", s, "<u8")
             if len(known):
+                codes, rows = self.coded("pair", s, 5)
                 p = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
-                out[at] = np.where((known[p] == keys[at])[:, None], self.array(name, s, dtype).reshape(-1, width)[p], 0)
-        return out if width > 1 else out[:, 0]
+                out[at] = np.where((known[p] == keys[at])[:, None], rows[codes[p]], 0)
+        return out
 
     def trigram_counts(self, context: np.ndarray, last: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """Counts of trigrams given as keys of their first two words and numbers of their last."""
@@ -136,9 +169,9 @@ class Model:
             key = r.astype(np.uint64) << HALF | last[at].astype(np.uint64)
             p = np.minimum(np.searchsorted(known, key), len(known) - 1)
             found = (contexts[r] == context[at]) & (known[p] == key)
-            out[at] = np.where(found, self.array("trigram_count", s, "<u4")[p], 0)
+            out[at] = np.where(found, self.array("trigram_count", s, "u1")[p], 0)
             full = np.flatnonzero(out[at] == FULL)
-            if len(full):  # counts beyond 32 bits lie beside
+            if len(full):  # counts beyond a byte lie beside
                 over = self.array("trigram_over", s, "<i8").reshape(-1, 2)
                 out[at[full]] = over[np.searchsorted(over[:, 0], p[full]), 1]
         return out
@@ -287,21 +320,21 @@ def _count_trigrams(folder: str):
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = open_model(folder, "words")
-        shards = model.manifest["gram_shards"]
         for s, keys, values in by_shard(batches):
             values = [unpack_values(x).reshape(2, -1) for x in values]
             contexts, key, c = _sum_trigrams(np.concatenate([unpack_sorted(x) for x in keys]), *np.concatenate(values, 1))
             _write(os.path.join(folder, f"context_of-{s:05d}"), contexts.astype("<u8"))
             _write(os.path.join(folder, f"trigram-{s:05d}"), key.astype("<u8"))
-            _write(os.path.join(folder, f"trigram_count-{s:05d}"), np.minimum(c, FULL).astype("<u4"))
+            _write(os.path.join(folder, f"trigram_count-{s:05d}"), np.minimum(c, FULL).astype("u1"))
             over = np.flatnonzero(c >= FULL)
             if len(over):
                 _write(os.path.join(folder, f"trigram_over-{s:05d}"), np.stack([over, c[over]], 1).astype("<i8"))
-            # behind a context: shards from 0; before a pair: shards beyond those
+            # of pairs: words before, and what is behind them as contexts
             place = key >> HALF
             pairs, different = np.unique((contexts & LOW)[place] << HALF | key & LOW, return_counts=True)
-            yield from send(blobs(_pair_shards(model, contexts), contexts, _classes(c, np.flatnonzero(np.diff(place, prepend=np.uint64(2**63))))))
-            yield from send(blobs(_pair_shards(model, pairs) + shards, pairs, different))
+            behind = _classes(c, np.flatnonzero(np.diff(place, prepend=np.uint64(2**63))))
+            yield from send(blobs(_pair_shards(model, contexts), contexts, np.insert(behind, 0, 0, axis=1)))
+            yield from send(blobs(_pair_shards(model, pairs), pairs, np.pad(different[:, None], ((0, 0), (0, 4)))))
             # counts of counts, by the way: shard -1
             yield from send(iter([(-1, pack_sorted(np.arange(4)), pack_values(np.array(_counts_of_counts(c))))]))
 
@@ -316,26 +349,25 @@ def _classes(c: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _merge_pairs(folder: str):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = open_model(folder, "words")
-        words, shards = len(model.manifest["words"]), model.manifest["gram_shards"]
+        words = len(model.manifest["words"])
         for s, keys, values in by_shard(batches):
-            width = 4 if 0 <= s < shards else 1
+            width = 1 if s < 0 else 5
             k, c = sum_by_key([unpack_sorted(x) for x in keys], [unpack_values(x).reshape(-1, width) for x in values])
             if s < 0:
                 yield from send(iter([(s, pack_sorted(k), pack_values(c.ravel()))]))
-            elif s < shards:
-                _write(os.path.join(folder, f"context_key-{s:05d}"), k.astype("<u8"))
-                _write(os.path.join(folder, f"context-{s:05d}"), c.astype("<i8"))
-            else:
-                s, c = s - shards, c[:, 0]
-                _write(os.path.join(folder, f"pair_key-{s:05d}"), k.astype("<u8"))
-                _write(os.path.join(folder, f"pair-{s:05d}"), c.astype("<u4"))
-                # behind a word: shards from 0; before a word: shards beyond those
-                w1 = k >> HALF
-                first = np.flatnonzero(np.diff(w1, prepend=np.uint64(2**63)))
-                w2, different = np.unique(k & LOW, return_counts=True)
-                yield from send(blobs(_word_shards(model, w1[first]), w1[first], _classes(c, first)))
-                yield from send(blobs(_word_shards(model, w2) + words, w2, different))
-                yield from send(iter([(-2, pack_sorted(np.arange(4)), pack_values(np.array(_counts_of_counts(c))))]))
+                continue
+            _write(os.path.join(folder, f"pair_key-{s:05d}"), k.astype("<u8"))
+            _write_coded(folder, "pair", s, c)
+            k, c = k[c[:, 0] > 0], c[c[:, 0] > 0, 0]  # two beginnings are a context alone
+            if not len(k):
+                continue
+            # behind a word: shards from 0; before a word: shards beyond those
+            w1 = k >> HALF
+            first = np.flatnonzero(np.diff(w1, prepend=np.uint64(2**63)))
+            w2, different = np.unique(k & LOW, return_counts=True)
+            yield from send(blobs(_word_shards(model, w1[first]), w1[first], _classes(c, first)))
+            yield from send(blobs(_word_shards(model, w2) + words, w2, different))
+            yield from send(iter([(-2, pack_sorted(np.arange(4)), pack_values(np.array(_counts_of_counts(c))))]))
 
     return merge
 
@@ -357,7 +389,7 @@ def _merge_words(folder: str):
                 k, v = sum_by_key([unpack_sorted(x) for x in keys], [unpack_values(x).reshape(-1, 4) for x in values])
                 full = np.zeros((model.manifest["words"][s], 4), np.int64)
                 full[k.astype(np.int64) - model.base[s]] = v
-                _write(os.path.join(folder, f"behind-{s:05d}"), full.astype("<i8"))
+                _write_coded(folder, "behind", s, full)
             else:
                 s -= words
                 k, v = sum_by_key([unpack_sorted(x) for x in keys], [unpack_values(x) for x in values])
@@ -446,9 +478,10 @@ def score_column(model: Model, column: pa.Array) -> dict[str, np.ndarray]:
     keys = _in_numbers(numbers, pairs[known])
     shard = _pair_shards(model, keys)
     c, behind = np.zeros(len(pairs), np.int64), np.zeros((len(pairs), 4), np.int64)
-    c[known], behind[known] = model.by_pair("pair", keys, shard, "<u4"), model.by_pair("context", keys, shard, "<i8", 4)
+    got = model.pairs(keys, shard)
+    c[known], behind[known] = got[:, 0], got[:, 1:]
     d = np.array([0.0, *m["pair_discounts"]])
-    total, backoff = _backoff(model.by_word("behind", numbers, "<i8", 4), d)
+    total, backoff = _backoff(model.behind(numbers), d)
     double = np.maximum(c - d[np.minimum(c, 3)], 0) / total[w1] + backoff[w1] * single[w2]
     # trigrams: counts
     key, at = np.unique(context.astype(np.uint64) << HALF | ids.astype(np.uint64), return_inverse=True)
