@@ -10,7 +10,7 @@ and hot words cost no more than others.
    of a trigram is where it would lie if words followed each other independently
    (``total before w1 + count of w1 * (share before w2 + share of w2 * share before w3)``),
    so neither a frequent word nor a frequent pair lies in one shard.  A shard writes its
-   sorted contexts, keys (place of the context << 32 | number of w3) and counts, and sends
+   sorted numbers as nested lists (w1, behind each its w2, behind each its w3) with counts, and sends
    on, by pair, the counts of counts behind a context and the different words before a pair.
 3. Pairs: sums of those are the back-off weights of contexts and the continuation counts of
    pairs, which are counted in turn behind and before each word.
@@ -84,7 +84,7 @@ class Model:
         key = (name, shard)
         if key not in self._open:
             path = os.path.join(self.folder, f"{name}-{shard:05d}")
-            self._open[key] = np.memmap(path, np.dtype(dtype), "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, np.dtype(dtype))
+            self._open[key] = np.asarray(np.memmap(path, np.dtype(dtype), "r")) if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, np.dtype(dtype))
         return self._open[key]
 
     @cached_property
@@ -147,29 +147,34 @@ class Model:
         shard = np.maximum(np.searchsorted(self.base, numbers, side="right") - 1, 0)
         return (self.tokens_before[shard] + self.by_word("before", numbers, "<i8")) / n, count / n
 
+    def places(self, name: str, shard: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys among those ``_write_keys`` wrote, and which are there."""
+        top, start, low = (self.array(f"{name}_{x}", shard, "<u4") for x in ("top", "start", "low"))
+        if not len(low):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        high = keys >> HALF
+        r = np.minimum(np.searchsorted(top, high.astype(np.uint32)), len(top) - 1)
+        return _search(low, start[r], np.where(top[r] == high, start[r + 1], start[r]), keys & LOW)
+
     def pairs(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """Of each pair the different words before it, and the classes and sum of the counts behind it."""
         out = np.zeros((len(keys), 5), np.int64)
         for s, at in _groups(shard):
-            known = self.array("pair_key", s, "<u8")
-            if len(known):
-                codes, rows = self.coded("pair", s, 5)
-                p = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
-                out[at] = np.where((known[p] == keys[at])[:, None], rows[codes[p]], 0)
+            p, found = self.places("pair", s, keys[at])
+            codes, rows = self.coded("pair", s, 5)
+            out[at[found]] = rows[codes[p[found]]]
         return out
 
     def trigram_counts(self, context: np.ndarray, last: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """Counts of trigrams given as keys of their first two words and numbers of their last."""
         out = np.zeros(len(context), np.int64)
         for s, at in _groups(shard):
-            contexts, known = self.array("context_of", s, "<u8"), self.array("trigram", s, "<u8")
-            if not len(known):
-                continue
-            r = np.minimum(np.searchsorted(contexts, context[at]), len(contexts) - 1)
-            key = r.astype(np.uint64) << HALF | last[at].astype(np.uint64)
-            p = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            found = (contexts[r] == context[at]) & (known[p] == key)
-            out[at] = np.where(found, self.array("trigram_count", s, "u1")[p], 0)
+            r, found = self.places("context", s, context[at])
+            at, r = at[found], r[found]
+            start, known = self.array("trigram_start", s, "<u4"), self.array("trigram", s, "<u4")
+            p, found = _search(known, start[r], start[r + 1], last[at])
+            at, p = at[found], p[found]
+            out[at] = self.array("trigram_count", s, "u1")[p]
             full = np.flatnonzero(out[at] == FULL)
             if len(full):  # counts beyond a byte lie beside
                 over = self.array("trigram_over", s, "<i8").reshape(-1, 2)
@@ -177,6 +182,31 @@ class Model:
         return out
 
 
+def _search(values: np.ndarray, start: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each wanted number its place in its own sorted stretch of ``values``, and whether it is there."""
+    low, high, wanted = start.astype(np.int64), end.astype(np.int64), wanted.astype(values.dtype)
+    found = np.zeros(len(low), bool)
+    at = np.flatnonzero(low < high)
+    while len(at):
+        middle = (low[at] + high[at]) >> 1
+        here, want = values[middle], wanted[at]
+        less = here < want
+        hit = here == want
+        found[at[hit]] = True
+        low[at] = np.where(hit, middle, np.where(less, middle + 1, low[at]))
+        high[at] = np.where(less, high[at], middle)
+        at = at[low[at] < high[at]]
+    return low, found
+
+
+def _write_keys(folder: str, name: str, shard: int, keys: np.ndarray) -> None:
+    """Sorted keys of two numbers: the distinct high ones, where each begins, and the low ones."""
+    high = keys >> HALF
+    first = np.flatnonzero(np.diff(high, prepend=np.uint64(2**63)))
+    for part, a in (("top", high[first]), ("start", np.append(first, len(keys))), ("low", keys & LOW)):
+        _write(os.path.join(folder, f"{name}_{part}-{shard:05d}"), a.astype("<u4"))
+
+
 def _groups(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard with the places that name it."""
     order = np.argsort(shard, kind="stable")
@@ -266,10 +296,17 @@ def _pair_shards(model: Model, keys: np.ndarray) -> np.ndarray:
 
 
 def _grams(column: pa.Array):
-    """A slice's hashes (the last is BEGIN), ids and tokens a row; its distinct pairs (the last
-    is two beginnings); pair that ends at and pair that stands before each token."""
+    """A slice's sorted hashes with BEGIN, ids and tokens a row; its distinct pairs (the last
+    is two beginnings); pair that ends at and pair that stands before each token.
+
+    Ids follow the hashes and so the numbers of words: lookups walk through the model in order.
+    """
     h, ids, n = word_hash_slice(column)
-    begin = len(h)
+    h = np.append(h, BEGIN_HASH)
+    order = np.argsort(h)
+    rank = np.empty(len(h), np.int64)
+    rank[order] = np.arange(len(h))
+    ids, begin = rank[ids], int(rank[-1])
     starts = np.cumsum(n) - n
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
@@ -278,7 +315,7 @@ def _grams(column: pa.Array):
     context = np.empty_like(ends)
     context[1:] = ends[:-1]
     context[starts] = len(pairs)
-    return np.append(h, BEGIN_HASH), ids, n, np.append(pairs, np.uint64(begin << 32 | begin)), ends, context
+    return h[order], ids, n, np.append(pairs, np.uint64(begin << 32 | begin)), ends, context
 
 
 def _in_numbers(numbers: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -323,16 +360,18 @@ def _count_trigrams(folder: str):
         for s, keys, values in by_shard(batches):
             values = [unpack_values(x).reshape(2, -1) for x in values]
             contexts, key, c = _sum_trigrams(np.concatenate([unpack_sorted(x) for x in keys]), *np.concatenate(values, 1))
-            _write(os.path.join(folder, f"context_of-{s:05d}"), contexts.astype("<u8"))
-            _write(os.path.join(folder, f"trigram-{s:05d}"), key.astype("<u8"))
+            place = key >> HALF
+            first = np.flatnonzero(np.diff(place, prepend=np.uint64(2**63)))
+            _write_keys(folder, "context", s, contexts)
+            _write(os.path.join(folder, f"trigram_start-{s:05d}"), np.append(first, len(key)).astype("<u4"))
+            _write(os.path.join(folder, f"trigram-{s:05d}"), (key & LOW).astype("<u4"))
             _write(os.path.join(folder, f"trigram_count-{s:05d}"), np.minimum(c, FULL).astype("u1"))
             over = np.flatnonzero(c >= FULL)
             if len(over):
                 _write(os.path.join(folder, f"trigram_over-{s:05d}"), np.stack([over, c[over]], 1).astype("<i8"))
             # of pairs: words before, and what is behind them as contexts
-            place = key >> HALF
             pairs, different = np.unique((contexts & LOW)[place] << HALF | key & LOW, return_counts=True)
-            behind = _classes(c, np.flatnonzero(np.diff(place, prepend=np.uint64(2**63))))
+            behind = _classes(c, first)
             yield from send(blobs(_pair_shards(model, contexts), contexts, np.insert(behind, 0, 0, axis=1)))
             yield from send(blobs(_pair_shards(model, pairs), pairs, np.pad(different[:, None], ((0, 0), (0, 4)))))
             # counts of counts, by the way: shard -1
@@ -356,7 +395,7 @@ def _merge_pairs(folder: str):
             if s < 0:
                 yield from send(iter([(s, pack_sorted(k), pack_values(c.ravel()))]))
                 continue
-            _write(os.path.join(folder, f"pair_key-{s:05d}"), k.astype("<u8"))
+            _write_keys(folder, "pair", s, k)
             _write_coded(folder, "pair", s, c)
             k, c = k[c[:, 0] > 0], c[c[:, 0] > 0, 0]  # two beginnings are a context alone
             if not len(k):
@@ -462,7 +501,6 @@ def score_column(model: Model, column: pa.Array) -> dict[str, np.ndarray]:
     h, ids, n, pairs, ends, context = _grams(column)
     numbers = model.numbers(h)
     count = model.by_word("count", numbers, "<i8")
-    count[-1] = 0  # the beginning is never a token
     base = np.log10((count + 1) / (m["n"] + 1 * (m["v"] + 1)))
     # words: continuation counts, interpolated with an equal share for each word and one more
     cont = model.by_word("cont", numbers, "<i8")
@@ -476,7 +514,8 @@ def score_column(model: Model, column: pa.Array) -> dict[str, np.ndarray]:
     w1, w2 = pairs >> HALF, pairs & LOW
     known = np.flatnonzero((numbers[w1] >= 0) & (numbers[w2] >= 0))
     keys = _in_numbers(numbers, pairs[known])
-    shard = _pair_shards(model, keys)
+    share, own = model.spread(numbers)
+    shard = _shards(model, share[w1[known]], own[w1[known]], share[w2[known]])
     c, behind = np.zeros(len(pairs), np.int64), np.zeros((len(pairs), 4), np.int64)
     got = model.pairs(keys, shard)
     c[known], behind[known] = got[:, 0], got[:, 1:]
@@ -488,7 +527,6 @@ def score_column(model: Model, column: pa.Array) -> dict[str, np.ndarray]:
     place, last = key >> HALF, key & LOW
     seen = np.flatnonzero((behind[place, 3] > 0) & (numbers[last] >= 0))
     pair, last = pairs[place[seen]], last[seen]
-    share, own = model.spread(numbers)
     shard = _shards(model, share[pair >> HALF], own[pair >> HALF], share[pair & LOW] + own[pair & LOW] * share[last])
     c = np.zeros(len(key), np.int64)
     c[seen] = model.trigram_counts(_in_numbers(numbers, pair), numbers[last], shard)
