@@ -46,6 +46,8 @@ WORD_SHARDS, SHARD_BYTES = 64, 256 << 20
 FULL = 255
 #: Training tokens of a shard of pairs and trigrams, and the most and fewest shards.
 SHARD_TOKENS, MIN_SHARDS, MAX_SHARDS = 1_000_000, 64, 65_536
+#: Shards of pairs or trigrams that one task merges, one after the other.
+TASK_SHARDS = 4
 #: Entries a counting task holds before it sends its blobs.
 HELD = 3_000_000
 #: Low half of a key of two numbers.
@@ -451,9 +453,10 @@ def train(df: DataFrame, ws: Workspace, *, text: str = "text") -> str:
     shards = WORD_SHARDS << min(10, max(0, math.ceil(math.log2(max(1, (plan_bytes(src) or 1) / (WORD_SHARDS * SHARD_BYTES))))))
     n_out *= shards // WORD_SHARDS
     count, merge = _count_words(folder, shards)
-    dealt = lambda packed: packed.repartition(n_out, "shard").sortWithinPartitions("shard")
+    dealt = lambda packed: packed.repartition(max(n_out, manifest.get("gram_shards", 0) // TASK_SHARDS), "shard").sortWithinPartitions("shard")
+    manifest: dict = {"words": [0] * shards, "tokens": [0] * shards}
     sizes = dealt(src.mapInArrow(count, BLOB)).mapInArrow(merge, "shard long, words long, tokens long").collect()
-    manifest = {"words": [0] * shards, "tokens": [0] * shards}
+    ws.free()  # the shuffle of words
     for r in sizes:
         manifest["words"][r.shard], manifest["tokens"][r.shard] = r.words, r.tokens
     vocabulary = sum(manifest["words"])
