@@ -74,6 +74,24 @@ def _write_coded(folder: str, name: str, shard: int, a: np.ndarray) -> None:
     _write(os.path.join(folder, f"{name}-{shard:05d}"), code.astype(_code_type(len(first))))
 
 
+def _write_counts(folder: str, name: str, shard: int, c: np.ndarray) -> None:
+    """Counts in a byte each; those beyond lie beside, with their places."""
+    _write(os.path.join(folder, f"{name}-{shard:05d}"), np.minimum(c, FULL).astype("u1"))
+    over = np.flatnonzero(c >= FULL)
+    if len(over):
+        _write(os.path.join(folder, f"{name}_over-{shard:05d}"), np.stack([over, c[over]], 1).astype("<i8"))
+
+
+def _write_rising(folder: str, name: str, shard: int, a: np.ndarray, dtype: str) -> None:
+    """Numbers that never fall: the low bits that ``dtype`` holds, and the places where the bits above them rise by one."""
+    bits = 8 * np.dtype(dtype).itemsize
+    a = a.astype(np.int64)
+    _write(os.path.join(folder, f"{name}-{shard:05d}"), (a & (1 << bits) - 1).astype(dtype))
+    rise = np.searchsorted(a >> bits, np.arange(1, (int(a[-1]) >> bits) + 1)) if len(a) else a
+    if len(rise):
+        _write(os.path.join(folder, f"{name}_rise-{shard:05d}"), rise.astype("<i8"))
+
+
 @dataclass
 class Model:
     """The mapped arrays of a model folder; ``manifest`` holds sizes and discounts."""
@@ -122,6 +140,27 @@ class Model:
                 out[at] = values[numbers[at] - self.base[s]]
         return out
 
+    def counts(self, name: str, shard: int, places: np.ndarray) -> np.ndarray:
+        """What ``_write_counts`` wrote at these places."""
+        out = self.array(name, shard, "u1")[places].astype(np.int64)
+        full = np.flatnonzero(out == FULL)
+        if len(full):
+            over = self.array(f"{name}_over", shard, "<i8").reshape(-1, 2)
+            out[full] = over[np.searchsorted(over[:, 0], places[full]), 1]
+        return out
+
+    def rising(self, name: str, shard: int, places: np.ndarray, dtype: str) -> np.ndarray:
+        """What ``_write_rising`` wrote at these places."""
+        high = np.searchsorted(self.array(f"{name}_rise", shard, "<i8"), places, side="right")
+        return high.astype(np.int64) << 8 * np.dtype(dtype).itemsize | self.array(name, shard, dtype)[places].astype(np.int64)
+
+    def word_counts(self, numbers: np.ndarray) -> np.ndarray:
+        """Training count of each word; 0 for number -1."""
+        out = np.zeros(len(numbers), np.int64)
+        for s, at in self._word_shards(numbers):
+            out[at] = self.counts("count", s, numbers[at] - self.base[s])
+        return out
+
     def behind(self, numbers: np.ndarray) -> np.ndarray:
         """Classes and sum of the counts behind each word; 0 for number -1."""
         out = np.zeros((len(numbers), 4), np.int64)
@@ -145,18 +184,20 @@ class Model:
     def spread(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(share of tokens before each word, share of the word)."""
         n = max(1, self.tokens_before[-1])
-        count = self.by_word("count", numbers, "<i8")
-        shard = np.maximum(np.searchsorted(self.base, numbers, side="right") - 1, 0)
-        return (self.tokens_before[shard] + self.by_word("before", numbers, "<i8")) / n, count / n
+        before = np.zeros(len(numbers), np.int64)
+        for s, at in self._word_shards(numbers):
+            before[at] = self.tokens_before[s] + self.rising("before", s, numbers[at] - self.base[s], "<u4")
+        return before / n, self.word_counts(numbers) / n
 
     def places(self, name: str, shard: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of keys among those ``_write_keys`` wrote, and which are there."""
-        top, start, low = (self.array(f"{name}_{x}", shard, "<u4") for x in ("top", "start", "low"))
+        top, low = (self.array(f"{name}_{x}", shard, "<u4") for x in ("top", "low"))
         if not len(low):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
         high = keys >> HALF
         r = np.minimum(np.searchsorted(top, high.astype(np.uint32)), len(top) - 1)
-        return _search(low, start[r], np.where(top[r] == high, start[r + 1], start[r]), keys & LOW)
+        start = self.rising(f"{name}_start", shard, r, "<u2")
+        return _search(low, start, np.where(top[r] == high, self.rising(f"{name}_start", shard, r + 1, "<u2"), start), keys & LOW)
 
     def pairs(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """Of each pair the different words before it, and the classes and sum of the counts behind it."""
@@ -173,14 +214,9 @@ class Model:
         for s, at in _groups(shard):
             r, found = self.places("context", s, context[at])
             at, r = at[found], r[found]
-            start, known = self.array("trigram_start", s, "<u4"), self.array("trigram", s, "<u4")
-            p, found = _search(known, start[r], start[r + 1], last[at])
-            at, p = at[found], p[found]
-            out[at] = self.array("trigram_count", s, "u1")[p]
-            full = np.flatnonzero(out[at] == FULL)
-            if len(full):  # counts beyond a byte lie beside
-                over = self.array("trigram_over", s, "<i8").reshape(-1, 2)
-                out[at[full]] = over[np.searchsorted(over[:, 0], p[full]), 1]
+            start, end = (self.rising("trigram_start", s, x, "<u2") for x in (r, r + 1))
+            p, found = _search(self.array("trigram", s, "<u4"), start, end, last[at])
+            out[at[found]] = self.counts("trigram_count", s, p[found])
         return out
 
 
@@ -205,8 +241,9 @@ def _write_keys(folder: str, name: str, shard: int, keys: np.ndarray) -> None:
     """Sorted keys of two numbers: the distinct high ones, where each begins, and the low ones."""
     high = keys >> HALF
     first = np.flatnonzero(np.diff(high, prepend=np.uint64(2**63)))
-    for part, a in (("top", high[first]), ("start", np.append(first, len(keys))), ("low", keys & LOW)):
-        _write(os.path.join(folder, f"{name}_{part}-{shard:05d}"), a.astype("<u4"))
+    _write(os.path.join(folder, f"{name}_top-{shard:05d}"), high[first].astype("<u4"))
+    _write(os.path.join(folder, f"{name}_low-{shard:05d}"), (keys & LOW).astype("<u4"))
+    _write_rising(folder, f"{name}_start", shard, np.append(first, len(keys)), "<u2")
 
 
 def _groups(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -275,8 +312,8 @@ def _count_words(folder: str, shards: int):
         for s, keys, values in by_shard(batches):
             k, c = sum_by_key([unpack_sorted(x) for x in keys], [unpack_values(x) for x in values])
             _write(os.path.join(folder, f"hash-{s:05d}"), k.astype("<u8"))
-            _write(os.path.join(folder, f"count-{s:05d}"), c.astype("<i8"))
-            _write(os.path.join(folder, f"before-{s:05d}"), (np.cumsum(c) - c).astype("<i8"))
+            _write_counts(folder, "count", s, c)
+            _write_rising(folder, "before", s, np.cumsum(c) - c, "<u4")
             out.append((s, len(k), int(c.sum())))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["shard", "words", "tokens"])
@@ -365,12 +402,9 @@ def _count_trigrams(folder: str):
             place = key >> HALF
             first = np.flatnonzero(np.diff(place, prepend=np.uint64(2**63)))
             _write_keys(folder, "context", s, contexts)
-            _write(os.path.join(folder, f"trigram_start-{s:05d}"), np.append(first, len(key)).astype("<u4"))
+            _write_rising(folder, "trigram_start", s, np.append(first, len(key)), "<u2")
             _write(os.path.join(folder, f"trigram-{s:05d}"), (key & LOW).astype("<u4"))
-            _write(os.path.join(folder, f"trigram_count-{s:05d}"), np.minimum(c, FULL).astype("u1"))
-            over = np.flatnonzero(c >= FULL)
-            if len(over):
-                _write(os.path.join(folder, f"trigram_over-{s:05d}"), np.stack([over, c[over]], 1).astype("<i8"))
+            _write_counts(folder, "trigram_count", s, c)
             # of pairs: words before, and what is behind them as contexts
             pairs, different = np.unique((contexts & LOW)[place] << HALF | key & LOW, return_counts=True)
             behind = _classes(c, first)
@@ -436,7 +470,7 @@ def _merge_words(folder: str):
                 k, v = sum_by_key([unpack_sorted(x) for x in keys], [unpack_values(x) for x in values])
                 full = np.zeros(model.manifest["words"][s], np.int64)
                 full[k.astype(np.int64) - model.base[s]] = v
-                _write(os.path.join(folder, f"cont-{s:05d}"), full.astype("<i8"))
+                _write(os.path.join(folder, f"cont-{s:05d}"), full.astype("<u4"))
                 out.append((s, *_counts_of_counts(full), int((full > 0).sum()), int(full.sum())))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["shard", "c1", "c2", "c3", "c4", "some", "total"])
@@ -470,7 +504,7 @@ def train(df: DataFrame, ws: Workspace, *, text: str = "text") -> str:
 
     save("words")
     first = Model(folder, manifest)
-    begins = int(first.by_word("count", first.numbers(np.array([BEGIN_HASH])), "<i8")[0])
+    begins = int(first.word_counts(first.numbers(np.array([BEGIN_HASH])))[0])
     count, merge = _count_trigrams(folder)
     by_pair = dealt(src.mapInArrow(count, BLOB)).mapInArrow(merge, BLOB)
     by_word = dealt(by_pair).mapInArrow(_merge_pairs(folder), BLOB)
@@ -503,10 +537,10 @@ def score_column(model: Model, column: pa.Array) -> dict[str, np.ndarray]:
     m = model.manifest
     h, ids, n, pairs, ends, context = _grams(column)
     numbers = model.numbers(h)
-    count = model.by_word("count", numbers, "<i8")
+    count = model.word_counts(numbers)
     base = np.log10((count + 1) / (m["n"] + 1 * (m["v"] + 1)))
     # words: continuation counts, interpolated with an equal share for each word and one more
-    cont = model.by_word("cont", numbers, "<i8")
+    cont = model.by_word("cont", numbers, "<u4").astype(np.int64)
     d = m["word_discounts"]
     if m["pairs"]:
         free = sum(x * y for x, y in zip(d, m["word_classes"])) / m["pairs"]

@@ -90,6 +90,19 @@ def test_packed_arrays(values):
     assert packed.unpack_values(packed.pack_values(b)).tolist() == b.tolist()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**40)), max_size=50), st.sampled_from(["<u2", "<u4"]))
+def test_model_arrays_hold_numbers_of_any_size(tmp_path_factory, values, dtype):
+    """Counts beyond a byte and running totals beyond their stored low bits come back whole."""
+    folder, c = str(tmp_path_factory.mktemp("model")), np.array(values, np.int64) >> 16
+    rising = np.sort(np.array(values, np.int64)) >> (16 if dtype == "<u2" else 0)
+    lm_scoring._write_counts(folder, "count", 0, c)
+    lm_scoring._write_rising(folder, "total", 0, rising, dtype)
+    m, at = lm_scoring.Model(folder, {}), np.arange(len(values))
+    assert m.counts("count", 0, at).tolist() == c.tolist()
+    assert m.rising("total", 0, at, dtype).tolist() == rising.tolist()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_chat_round_trip(spark, seed):
     rng = random.Random(seed)
