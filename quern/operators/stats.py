@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quern.functions.text import word_set
 
+#: Rows of a probe's training vectors that a worker multiplies at once.
+PROBE_ROWS = 4096
+
 
 def word_counts(docs: DataFrame, *, id: str = "id", side: str = "side", text: str = "text") -> DataFrame:
     """(word, yp, yc): texts of the candidate (p) and control (c) side that have each word."""
@@ -113,17 +120,98 @@ def roc_points(df: DataFrame, *, label: str = "y", score: str = "score", points:
     return out.drop("i", "m")
 
 
+def _sums(data: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over the slices of ``data(y, x)`` of the numbers that ``of(y, x)`` gives for one; a row of numbers a task is sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for at in range(0, b.num_rows, PROBE_ROWS):
+                y, x = (b.slice(at, PROBE_ROWS).column(n) for n in ("y", "x"))
+                sizes = pc.unique(pc.list_value_length(x)).to_pylist()
+                if len(sizes) != 1:
+                    raise ValueError(f"vectors of different lengths: {sorted(sizes)}")
+                part = of(y.to_numpy(), x.flatten().to_numpy(zero_copy_only=False).reshape(len(y), sizes[0]))
+                if total is not None and len(part) != len(total):
+                    raise ValueError("vectors of different lengths")
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    parts = [np.frombuffer(r["sums"]) for r in data.mapInArrow(run, "sums binary").toLocalIterator()]
+    if len({len(x) for x in parts}) > 1:
+        raise ValueError("vectors of different lengths")
+    return sum(parts) if parts else np.zeros(0)
+
+
+def _least(value: Callable[[np.ndarray], tuple[float, np.ndarray]], at: np.ndarray, steps: int = 200, close: float = 1e-8, memory: int = 20) -> np.ndarray:
+    """Minimum of a convex function, given with its gradient, by L-BFGS with halved steps."""
+    f, g = value(at)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        if np.abs(g).max() <= close:
+            break
+        way, alphas = -g, []
+        for s, y in reversed(past):
+            alphas.append(s @ way / (s @ y))
+            way = way - alphas[-1] * y
+        if past:
+            s, y = past[-1]
+            way = way * (s @ y / (y @ y))
+        for (s, y), alpha in zip(past, reversed(alphas)):
+            way = way + (alpha - y @ way / (s @ y)) * s
+        step = 1.0 if past else min(1.0, 1 / np.abs(g).sum())
+        while True:
+            new, grad = value(at + step * way)
+            if new <= f + 1e-4 * step * (g @ way) or step < 1e-10:
+                break
+            step /= 2
+        if step < 1e-10:  # no smaller value can be told
+            break
+        if (step * way) @ (grad - g) > 0:
+            past = [*past[-memory + 1 :], (step * way, grad - g)]
+        at, f, g = at + step * way, new, grad
+    return at
+
+
 def logistic_probe(train: DataFrame, test: DataFrame, *, label: str = "y", vector: str = "v", c: float = 1.0) -> DataFrame:
-    """``test`` with ``score``: standardised logistic regression with an L2 penalty of 1 / (c n)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    n = max(1, train.count())
-    prep = lambda d: d.withColumn("_x", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
-    model = Pipeline(stages=[StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True), LogisticRegression(featuresCol="_z", labelCol=label, regParam=1.0 / (c * n), standardization=False, maxIter=200)]).fit(prep(train))
-    return model.transform(prep(test)).withColumn("score", F.element_at(vector_to_array("rawPrediction"), 2)).drop("_x", "_z", "rawPrediction", "probability", "prediction")
+    """``test`` with ``score``: standardised logistic regression with an L2 penalty of 1 / (c n).
+
+    Labels are 0 and 1; training rows without a label or a vector are left out.  A step sends sums as
+    long as a vector, whatever the rows.  With one label alone the score is that label's infinity.
+    """
+    data = train.select(F.col(label).cast("double").alias("y"), F.col(vector).cast("array<double>").alias("x")).dropna().cache()
+    try:
+        first = _sums(data, lambda y, x: np.concatenate([[len(y), y.sum(), ((y != 0) & (y != 1)).sum()], x.sum(0)]))
+        if not len(first):
+            raise ValueError("no row to learn from")
+        (n, ones, odd), mu = first[:3], first[3:] / first[0]
+        if odd:
+            raise ValueError("labels other than 0 and 1")
+        sd = np.sqrt(_sums(data, lambda y, x: ((x - mu) ** 2).sum(0)) / max(1.0, n - 1))
+        per = np.divide(1.0, sd, out=np.zeros_like(sd), where=sd > 0)  # what does not vary says nothing
+
+        def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+            def of(y, x):
+                x = (x - mu) * per
+                z = x @ w[1:] + w[0]
+                off = 1 / (1 + np.exp(-np.clip(z, -700, 700))) - y
+                return np.concatenate([[(np.logaddexp(0, z) - y * z).sum(), off.sum()], off @ x])
+
+            got = _sums(data, of) / n
+            penalty = np.concatenate([[0.0], w[1:]]) / (c * n)
+            return got[0] + penalty @ w / 2, got[1:] + penalty
+
+        w = np.zeros(len(mu) + 1)
+        if 0 < ones < n:
+            w[0] = math.log(ones / (n - ones))
+            w = _least(loss, w)
+        else:
+            w[0] = math.inf if ones else -math.inf
+    finally:
+        data.unpersist()
+    probe = train.sparkSession.createDataFrame(pa.table({"dim": np.arange(len(mu)), "mu": mu, "sd": np.where(sd > 0, sd, 1.0), "d": w[1:]}))
+    return probe_scores(test, probe, vector=vector).withColumn("score", F.col("score") + float(w[0]))
 
 
 def accuracy(df: DataFrame, correct: Column) -> DataFrame:

@@ -252,6 +252,33 @@ def test_word_matching_reads_blocks_and_sends_no_table_to_the_driver(spark, monk
     assert left == sorted(i for i in alive if i is not None)
 
 
+def test_logistic_probe_reaches_the_optimum_without_ml_closures(spark, monkeypatch):
+    import sys
+
+    import numpy as np
+
+    from quern.operators import stats
+
+    monkeypatch.setitem(sys.modules, "pyspark.ml", None)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 5))
+    x[:, 4] = 3.0  # does not vary
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=120) > 0).astype(int)
+    rows = [(int(a), [float(v) for v in b]) for a, b in zip(y, x)]
+    df = spark.createDataFrame([*rows, (None, [0.0] * 5), (1, None)], "y int, v array<double>").repartition(3)
+    got = [(r.score, r.v) for r in stats.logistic_probe(df, df.where("v IS NOT NULL AND y IS NOT NULL")).collect()]
+    # Newton's method on the same objective
+    z = np.column_stack([np.ones(120), (x[:, :4] - x[:, :4].mean(0)) / x[:, :4].std(0, ddof=1)])
+    w, pen = np.zeros(5), np.array([0, 1, 1, 1, 1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pen), z.T @ (p - y) + pen * w)
+    want = {tuple(b): s for b, s in zip(x.tolist(), z @ w)}
+    assert len(got) == 120 and all(abs(s - want[tuple(v)]) < 1e-5 for s, v in got)
+    one = stats.logistic_probe(df.where("y = 1"), df.where("v IS NOT NULL").limit(2)).collect()
+    assert [r.score for r in one] == [math.inf, math.inf]
+
+
 def test_judge_hook_turns_failures_into_nulls(spark):
     from quern.operators.judging import judge
 
