@@ -30,7 +30,7 @@ MARKS = table((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 WHOLE = "<\\||[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: The pattern that byte-level BPE splits with, as its vocabulary file's library has it built in.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct chunks a worker remembers between slices; the memory starts anew beyond.
+#: Distinct chunks a worker remembers between slices; beyond, encoders keep the common ones.
 MEMORY = 500_000
 
 
@@ -130,6 +130,19 @@ class ChunkEncoder:
     def forget(self) -> None:
         self.at: dict[bytes, int] = {}
         self.flat, self.offs = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.seen = np.zeros(0, np.int32)  # slices that had each chunk
+
+    def thin(self) -> None:
+        """Keep the chunks that most slices had, at most half the memory; most chunks are had by one."""
+        least = 2
+        while np.count_nonzero(self.seen >= least) > self.memory // 2:
+            least += 1
+        stay = np.flatnonzero(self.seen >= least)
+        keys = list(self.at)
+        self.at = {keys[i]: n for n, i in enumerate(stay.tolist())}
+        self.flat, lens = ragged_take(self.flat, self.offs, stay)
+        self.offs = np.concatenate([[0], np.cumsum(lens)])
+        self.seen = self.seen[stay] // 2  # what is no longer met goes in time
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -138,7 +151,12 @@ class ChunkEncoder:
         """Encode new chunks: joined by a special token, which texts are always cut at."""
         parts, lens = [], []
         groups = [keys[i : i + 4000] for i in range(0, len(keys), 4000)]
-        for ids in self.whole([self.mark.join(x.decode().replace(self.mark, "") for x in g) for g in groups]):
+        mark = self.mark.encode()
+        joined = [mark.join(g) for g in groups]
+        for i, g in enumerate(groups):
+            if joined[i].count(mark) != len(g) - 1:  # a chunk has the mark itself: its text is encoded whole
+                joined[i] = mark.join(x.replace(mark, b"") for x in g)
+        for ids in self.whole([x.decode() for x in joined]):
             cut = np.flatnonzero(ids == self.mark_id)
             parts.append(np.delete(ids, cut))
             lens.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
@@ -146,6 +164,7 @@ class ChunkEncoder:
         self.at.update(zip(keys, range(base, base + len(keys))))
         self.flat = np.concatenate([self.flat, *parts])
         self.offs = np.concatenate([self.offs, self.offs[-1] + np.cumsum(np.concatenate(lens))])
+        self.seen = np.concatenate([self.seen, np.zeros(len(keys), np.int32)])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows in order, ids of each row)."""
@@ -155,12 +174,13 @@ class ChunkEncoder:
         c = Chunks(raw, offs, self.starts_of)
         new = [k for k in c.keys if k not in self.at]
         if len(self.at) + len(new) > self.memory and self.at:
-            self.forget()
-            new = c.keys
+            self.thin()
+            new = [k for k in c.keys if k not in self.at]
         if new:
             self.learn(new)
         get = self.at.__getitem__
         slot = np.fromiter(map(get, c.keys), np.int64, len(c.keys))
+        self.seen[slot] += 1
         ids, lens = ragged_take(self.flat, self.offs, slot[c.ids])
         total = np.concatenate([[0], np.cumsum(lens)])
         ends = total[np.cumsum(c.counts)]

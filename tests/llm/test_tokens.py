@@ -51,6 +51,20 @@ def test_a_forgetful_encoder_gives_the_same(monkeypatch):
         assert ids.tolist() == np.concatenate(e.whole(texts)).tolist()
 
 
+def test_a_full_memory_keeps_common_chunks(monkeypatch):
+    e, learned = tokens.ChunkEncoder(tokens.WORD_BPE, 40), []
+    learn = e.learn
+    monkeypatch.setattr(e, "learn", lambda keys: (learned.extend(keys), learn(keys)))
+    common = [f"common{x}" for x in "abcdefgh"]
+    for i in range(30):
+        texts = [" ".join([*common, *(f"once{i}x{j}" for j in range(6))]), f"<|endoftext|> mark{i}{e.mark}"]
+        ids, n = e.encode(pa.array(texts))
+        want = e.whole(texts)
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == np.concatenate(want).tolist()
+        assert len(e.at) == len(e.seen) == len(e.offs) - 1 <= 40
+    assert all(learned.count(w.encode()) == 1 for w in common)
+
+
 def test_token_counts_rows(spark):
     rows = [(1, "hello world", "x"), (2, None, "y"), (3, "", "z"), (3, "hello world", "x"), (None, "a " * 2000, "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
