@@ -35,6 +35,8 @@ TRAIN_ROWS = 200_000
 PREFIXES = (3, 4, 5, 6)
 STRENGTH, EFFECT, DRIFT = 3, 1.5, .1
 SHARDS = 256
+#: Units (40 bytes each) that a worker counts before it merges them, and merged ones before it sends them.
+MERGE_UNITS = 400_000
 #: Stored units that a broadcast may hold (16 bytes each); beyond, workers map them from the shared folder.
 MOST_UNITS = 4_000_000
 
@@ -64,6 +66,7 @@ UNIT = np.dtype([("h", "<u8"), ("up", "<u8"), ("level", "<i8"), ("y1", "<i8"), (
 
 def _merge(parts: list[np.ndarray]) -> np.ndarray:
     a = np.concatenate(parts)
+    parts.clear()
     a = a[np.argsort(a["h"], kind="stable")]
     first = np.flatnonzero(np.concatenate([[True], a["h"][1:] != a["h"][:-1]])) if len(a) else np.zeros(0, np.int64)
     out = a[first].copy()
@@ -98,8 +101,7 @@ def count_units(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def flush():
-            all_units = _merge(held)
+        def flush(all_units: np.ndarray):
             # shard: that of the shortest form, so parents meet their children
             order = np.argsort(all_units["h"])
             top = all_units["h"].copy()
@@ -122,11 +124,13 @@ def count_units(df: DataFrame) -> DataFrame:
             u = _units(split_words(raw, offs, ALNUM_WORD), b.column(1).to_numpy(zero_copy_only=False) == 1)
             held.append(u)
             size += len(u)
-            if size > 2_000_000:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
+            if size > MERGE_UNITS:  # merged as they come: a worker never holds two or three times what it sends
+                held = [_merge(held)]
+                size = 0
+                if len(held[0]) > MERGE_UNITS:
+                    yield flush(held.pop())
+        if size or held:
+            yield flush(_merge(held))
 
     return df.select("text", "y").mapInArrow(run, "shard int, blob binary")
 

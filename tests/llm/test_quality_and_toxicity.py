@@ -147,6 +147,18 @@ def test_a_million_tokens_are_scanned_in_linear_time():
     assert took[1_000_000] < 30 * max(took[100_000], 0.05)
 
 
+def test_units_are_merged_in_small_steps(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(" ".join(f"word{rng.randrange(400)}" for _ in range(30)), i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "text string, y int").repartition(2)
+    monkeypatch.setattr(toxicity, "SMALL_SLICE", 2000)
+    total = lambda: sorted((r.h, round(r.score, 12)) for r in toxicity.log_odds(toxicity.count_units(df).repartition(2, "shard"), 100, 100).collect())
+    monkeypatch.setattr(toxicity, "EFFECT", 0.0)
+    whole = total()
+    monkeypatch.setattr(toxicity, "MERGE_UNITS", 300)
+    assert total() == whole
+
+
 def test_units_beyond_the_broadcast_are_mapped(spark, monkeypatch):
     rng = random.Random(4)
     v, bad = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80)], ["vile", "nasty", "awful"]
