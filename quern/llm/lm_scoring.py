@@ -222,19 +222,23 @@ class Model:
 
 def _search(values: np.ndarray, start: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each wanted number its place in its own sorted stretch of ``values``, and whether it is there."""
-    low, high, wanted = start.astype(np.int64), end.astype(np.int64), wanted.astype(values.dtype)
-    found = np.zeros(len(low), bool)
-    at = np.flatnonzero(low < high)
+    place, found = start.astype(np.int64), np.zeros(len(start), bool)
+    at = np.flatnonzero(place < end)
+    low, left, want = place[at], end[at].astype(np.int64) - place[at], wanted[at].astype(values.dtype)
     while len(at):
-        middle = (low[at] + high[at]) >> 1
-        here, want = values[middle], wanted[at]
-        less = here < want
-        hit = here == want
-        found[at[hit]] = True
-        low[at] = np.where(hit, middle, np.where(less, middle + 1, low[at]))
-        high[at] = np.where(less, high[at], middle)
-        at = at[low[at] < high[at]]
-    return low, found
+        half = left >> 1
+        middle = low + half
+        less = values[middle] < want
+        low = np.where(less, middle + 1, low)
+        left = np.where(less, left - half - 1, half)
+        some = left > 0
+        if not some.all():  # one gather a step for those that go on; the others are settled
+            done = ~some
+            place[at[done]] = low[done]
+            at, low, left, want = at[some], low[some], left[some], want[some]
+    inside = np.flatnonzero(place < end)
+    found[inside] = values[place[inside]] == wanted[inside].astype(values.dtype)
+    return place, found
 
 
 def _write_keys(folder: str, name: str, shard: int, keys: np.ndarray) -> None:

@@ -103,8 +103,7 @@ class Words:
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(x) for x in words.to_pylist()), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(words))
 
 
 def encode_runs(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.BinaryArray]:

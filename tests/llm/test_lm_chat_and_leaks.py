@@ -274,3 +274,28 @@ def test_near_duplicate_stage_decides_by_row(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, t), (1, u), (3, w), (None, "alone without an id"), (5, None), (6, "six")], key=str)
+
+
+def test_search_finds_each_number_in_its_own_stretch():
+    class Reads(np.ndarray):
+        """Counts the numbers that are read."""
+
+        n = 0
+
+        def __getitem__(self, at):
+            Reads.n += np.size(at)
+            return np.asarray(super().__getitem__(at))
+
+    rng = np.random.default_rng(3)
+    parts = [np.sort(rng.choice(5000, k, replace=False)) for k in [0, 1, 2, 3, 1000, 0, *rng.integers(0, 40, 200).tolist(), 1, 0]]
+    ends = np.cumsum([len(x) for x in parts])
+    values = np.concatenate(parts).astype("<u4").view(Reads)
+    which = rng.integers(0, len(parts), 20_000)
+    wanted = np.array([int(rng.choice(parts[w])) if len(parts[w]) and i % 2 else int(rng.integers(0, 5000)) for i, w in enumerate(which.tolist())])
+    start = ends[which] - np.array([len(x) for x in parts])[which]
+    place, found = lm_scoring._search(values, start, ends[which], wanted)
+    for w, x, p, f, a in zip(which.tolist(), wanted.tolist(), place.tolist(), found.tolist(), start.tolist()):
+        assert f == (x in parts[w]) and (not f or parts[w][p - a] == x)
+    assert Reads.n < 20_000 * 7
+    empty = np.zeros(0, np.int64)
+    assert [len(x) for x in lm_scoring._search(np.zeros(0, "<u4"), empty, empty, empty)] == [0, 0]
