@@ -12,6 +12,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.text import encode_runs, ragged_take, slices, table, utf8
+from quern.llm.text import LOWER, encode_runs, ragged_take, slices, table, utf8
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 SPACES = table((0x20, 0x20), (0x09, 0x0D))
@@ -30,6 +31,10 @@ MARKS = table((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 WHOLE = "<\\||[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: The pattern that byte-level BPE splits with, as its vocabulary file's library has it built in.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The pattern of tokenizers that drop white space and write all in lower case, and chunks that it takes whole:
+#: small letters that NFC and lower case leave as they are. Their ids are those of the model alone.
+WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = "^[a-z\\x{e0}-\\x{f6}\\x{f8}-\\x{ff}]+$"
 #: Distinct chunks a worker remembers between slices; beyond, encoders keep the common ones.
 MEMORY = 500_000
 
@@ -103,6 +108,31 @@ class Chunks:
         return np.unique(rows[bad[self.ids]])
 
 
+def lower_alone(raw: np.ndarray) -> np.ndarray:
+    """``raw`` with A-Z lowered but before bytes beyond ASCII, where a mark may join the letter in NFC."""
+    out = LOWER[raw]
+    joined = np.flatnonzero((raw[1:] >= 0x80) & (raw[:-1] < 0x80))
+    out[joined] = raw[joined]
+    return out
+
+
+def lowers_words(spec: dict) -> bool:
+    """Whether a tokenizer is NFC, lower case, ``WORD_LEVEL`` and byte-level BPE, and nothing else acts on letters."""
+    norm, pre, model = ((spec[k] or {}) for k in ("normalizer", "pre_tokenizer", "model"))
+    steps, cuts = norm.get("normalizers", []), pre.get("pretokenizers", [])
+    return (
+        [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": WORD_LEVEL} and cuts[0]["invert"]
+        and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"] and spec["post_processor"] is None and model["type"] == "BPE" and not model["dropout"]
+    )
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The character that byte-level BPE writes for each byte: printable ones themselves, the rest 256, 257, ..."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(shown))}
+
+
 def needs_whole(dictionary: pa.Array) -> np.ndarray:
     flags = pc.match_substring_regex(dictionary.cast(pa.large_string()), WHOLE)
     return flags.to_numpy(zero_copy_only=False).astype(bool)
@@ -122,6 +152,7 @@ class ChunkEncoder:
         spec = json.loads(self.tokenizer.to_str())
         byte_level = spec["pre_tokenizer"]["type"] == "ByteLevel" and spec["normalizer"] is None
         self.starts_of = byte_level_starts if byte_level else word_starts
+        self.lowers, self.alphabet = lowers_words(spec), byte_alphabet()
         mark = spec["added_tokens"][-1]
         self.mark, self.mark_id = mark["content"], mark["id"]
         self.specials = [t["content"] for t in spec["added_tokens"]]
@@ -147,9 +178,22 @@ class ChunkEncoder:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def plain(self, keys: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Chunks that are one word of the model as they are, and the others."""
+        if not self.lowers:
+            return [], keys
+        flags = pc.match_substring_regex(pa.array(keys, pa.large_binary()).cast(pa.large_string()), PLAIN).to_pylist()
+        return [k for k, f in zip(keys, flags) if f], [k for k, f in zip(keys, flags) if not f]
+
     def learn(self, keys: list[bytes]) -> None:
-        """Encode new chunks: joined by a special token, which texts are always cut at."""
+        """Encode new chunks: plain ones by the model, others joined by a special token, which texts are always cut at."""
         parts, lens = [], []
+        words, keys = self.plain(keys)
+        if words:
+            tokenize = self.tokenizer.model.tokenize
+            got = [[t.id for t in tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(self.alphabet))] for w in words]
+            parts.append(np.fromiter(chain.from_iterable(got), np.uint32))
+            lens.append(np.fromiter(map(len, got), np.int64, len(got)))
         groups = [keys[i : i + 4000] for i in range(0, len(keys), 4000)]
         mark = self.mark.encode()
         joined = [mark.join(g) for g in groups]
@@ -160,7 +204,7 @@ class ChunkEncoder:
             cut = np.flatnonzero(ids == self.mark_id)
             parts.append(np.delete(ids, cut))
             lens.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
-        base = len(self.at)
+        base, keys = len(self.at), words + keys
         self.at.update(zip(keys, range(base, base + len(keys))))
         self.flat = np.concatenate([self.flat, *parts])
         self.offs = np.concatenate([self.offs, self.offs[-1] + np.cumsum(np.concatenate(lens))])
@@ -171,7 +215,7 @@ class ChunkEncoder:
         raw, offs = utf8(column)
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
-        c = Chunks(raw, offs, self.starts_of)
+        c = Chunks(lower_alone(raw) if self.lowers else raw, offs, self.starts_of)
         new = [k for k in c.keys if k not in self.at]
         if len(self.at) + len(new) > self.memory and self.at:
             self.thin()
@@ -217,9 +261,7 @@ class RankMerger:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        # byte-level alphabet: printable bytes stand for themselves, the rest for 256, 257, ...
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(shown))}
+        alphabet = byte_alphabet()
         self.first = np.array([vocab[alphabet[b]] for b in range(256)], np.int64)
         made = {}
         keys, out = np.empty(len(merges), np.int64), np.empty(len(merges), np.int64)

@@ -65,6 +65,21 @@ def test_a_full_memory_keeps_common_chunks(monkeypatch):
     assert all(learned.count(w.encode()) == 1 for w in common)
 
 
+def test_plain_words_go_to_the_model_alone(monkeypatch):
+    e = tokens.ChunkEncoder(tokens.WORD_BPE)
+    assert e.lowers and not tokens.ChunkEncoder(tokens.BYTE_BPE).lowers
+    texts = ["J\u030c j\u030c E\u0301 \u00c9cole \u00e9cole stra\u00dfe \u0130 \u03a3\u03c2 x\u00f7y \u00fe\u00ff", "HELLO Hello hello He\u0301llo don't DON'T <|ENDOFTEXT|> <|endoftext|>"]
+    ids, n = e.encode(pa.array(texts))
+    want = e.whole(texts)
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == np.concatenate(want).tolist()
+    e.forget()
+    sent = []
+    monkeypatch.setattr(e, "whole", lambda t, f=e.whole: sent.extend(t) or f(t))
+    ids, n = e.encode(pa.array(["Caf\u00e9 HELLO Hello hello"]))
+    assert {b"hello", "caf\u00e9".encode()} <= set(e.at)
+    assert b"HELLO" not in e.at and not any("hello" in t for t in sent)
+
+
 def test_token_counts_rows(spark):
     rows = [(1, "hello world", "x"), (2, None, "y"), (3, "", "z"), (3, "hello world", "x"), (None, "a " * 2000, "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
