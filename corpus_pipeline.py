@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from quern.llm.decontaminate import decontaminate
 from quern.llm.near_dedup import BROADCAST_IDS, near_duplicates
 from quern.llm.packing import pack_documents
 from quern.llm.paragraph_dedup import remove_repeats
-from quern.llm.shared import Workspace, free_name, n_rows
+from quern.llm.shared import Workspace, free_name, n_rows, settle
 from quern.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -61,12 +64,23 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack_documents(docs)
 
 
+def settled(stage: Callable) -> Callable:
+    """The stage, begun with executors that hold nothing of the one before."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        settle(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_dedup", drop_near_duplicates),
-    ("substring_dedup", cut_repeats),
-    ("decontamination", drop_contaminated),
-    ("packing", pack_sequences),
+    ("toxicity", settled(drop_toxic)),
+    ("near_dedup", settled(drop_near_duplicates)),
+    ("substring_dedup", settled(cut_repeats)),
+    ("decontamination", settled(drop_contaminated)),
+    ("packing", settled(pack_sequences)),
 ]
 
 #: No stage but the decontamination can be said in SQL; the tests hold each against brute force.

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.components import components, follow
 from quern.llm.often import OftenKeys, count_often, rarest_first
-from quern.llm.shared import Workspace, n_rows, small
+from quern.llm.shared import Workspace, n_rows, settle, small
 from quern.llm.text import mix64
 
 SMALL = 48
@@ -124,6 +124,7 @@ def link_lists(lists: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame],
             moved = components(roots, ws, f"{name}-cc")
             state["comps"] = ws.keep(follow(comps, moved).unionByName(moved.join(comps, "c", "left_anti")), f"{name}-comps")
         ws.free(f"{name}-sets")
+        settle(ws.spark)
 
     def small_pairs(few: DataFrame, name: str) -> DataFrame:
         keys = few.groupBy("c").agg(F.sort_array(F.collect_set("key")).alias("keys"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.linking import link_lists
 from quern.llm.often import OftenKeys, count_often
-from quern.llm.shared import Workspace, free_name, small
+from quern.llm.shared import Workspace, free_name, settle, small
 from quern.llm.text import SMALL_SLICE, mix64, ragged_take, shingle_hashes, slices, split_words, utf8
 
 REACH = 4
@@ -391,6 +391,7 @@ def whole_passages(anchors: DataFrame, src: DataFrame, ws: Workspace, num: int,
 
     met = ws.keep(chains.mapInArrow(joined, f"{pair_type}, n long, start long, n_words long, s_start long, s_words long"), "met")
     ws.free("segments", "holes", "asked", "pieces")
+    settle(ws.spark)
     later = met.select("doc_id", "row", "start", "n_words", F.col("s_doc").alias("class_id"), F.col("n").alias("n_occurrences"), F.lit(False).alias("first"))
     earlier = met.select(F.col("s_doc").alias("doc_id"), F.col("s_row").alias("row"), F.col("s_start").alias("start"), F.col("s_words").alias("n_words"), F.col("s_doc").alias("class_id"), F.col("n").alias("n_occurrences"), F.lit(True).alias("first"))
     return later.unionByName(earlier).groupBy("doc_id", "row", "start", "n_words", "first").agg(F.min("class_id").alias("class_id"), F.max("n_occurrences").alias("n_occurrences"))
@@ -408,6 +409,7 @@ def repeated_runs(df: DataFrame, ws: Workspace, *, doc_id: str = "doc_id", text:
     anchors = ws.keep(repeated_anchors(found, ws), "anchors")
     paragraphs = ws.keep(repeated_paragraphs(found, ws, num=num, den=den, bands=bands, rows=rows), "paragraphs")
     ws.free("occurrences", "classes", "info", "anchor-info", "lists", "one-small", "sketch-shared")
+    settle(ws.spark)
     # rows that are there twice have every paragraph twice; one is enough
     whole = anchors.unionByName(paragraphs).groupBy("doc_id", "row", "start", "n_words").agg(F.min("lo").alias("lo"), F.max("n").alias("n_occurrences"))
     first = F.struct("doc_id", "row", "start").eqNullSafe(F.struct("lo.doc_id", "lo.row", "lo.start"))

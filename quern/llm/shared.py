@@ -112,6 +112,16 @@ class Workspace:
                 shutil.rmtree(path.path, ignore_errors=True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect, and give back the heap and classes that ended steps have left.
+
+    A heap that has grown keeps its size otherwise, beside whatever the Python workers of the
+    next step need.  One short task a core; no result depends on where they run.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).where("length(concat('', coalesce(reflect('java.lang.System', 'gc'), ''))) < 0").count()
+
+
 #: Narrow rows (ids and labels) that a broadcast may hold.
 BROADCAST_ROWS = 200_000
 

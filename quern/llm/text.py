@@ -8,7 +8,8 @@ gives each distinct word of a slice once.  Null texts count as empty ones.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -55,8 +56,32 @@ def trim() -> None:
         _libc().malloc_trim(0)
 
 
+#: What a worker keeps from task to task, and what of it the task at hand has asked for.
+_held: dict[tuple, object] = {}
+_asked: set[tuple] = set()
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What ``make`` gives, kept in this worker until a task that reads texts has not asked for it."""
+    _asked.add(key)
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Drop what was kept for other operators: workers outlive them, and a tokenizer's memory would add to every later step."""
+    if drop := _held.keys() - _asked:
+        for key in drop:
+            del _held[key]
+        gc.collect()
+        trim()
+    _asked.clear()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows of at most ``limit`` text bytes (a longer row stands alone)."""
+    let_go()
     for batch in batches:
         if not batch.num_rows:
             continue

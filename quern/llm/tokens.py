@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.text import LOWER, encode_runs, ragged_take, slices, table, utf8
+from quern.llm.text import LOWER, encode_runs, held, ragged_take, slices, table, utf8
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 SPACES = table((0x20, 0x20), (0x09, 0x0D))
@@ -239,10 +238,9 @@ class ChunkEncoder:
         return ids, counts
 
 
-@cache
 def chunk_encoder(name: str = BYTE_BPE, memory: int | None = None) -> ChunkEncoder:
-    """One encoder a worker process: its memory of chunks outlives a task."""
-    return ChunkEncoder(name, memory)
+    """One encoder a worker process: its memory of chunks outlives a task (see ``held``)."""
+    return held(("encoder", name, memory), lambda: ChunkEncoder(name, memory))
 
 
 class RankMerger:
@@ -401,9 +399,8 @@ class RankMerger:
         return counts
 
 
-@cache
 def rank_merger(name: str = BYTE_BPE) -> RankMerger:
-    return RankMerger(name)
+    return held(("merger", name), lambda: RankMerger(name))
 
 
 def token_counts(df: DataFrame, *, text: str = "text", tokenizer: str = BYTE_BPE, limit: int = 1024) -> DataFrame:

@@ -10,8 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quern.llm import packing, token_store, tokens
-from quern.llm.shared import Workspace
+from quern.llm import packing, text, token_store, tokens
+from quern.llm.shared import Workspace, settle
 
 PIECES = ["a", "b", " ", "  ", "\n", "\n\n", "\t", "'s", "'", "1", "é", "<|endoftext|>", "<|startoftext|>", ".", "!!", "\r", "\x1c", " ", "　", "\x85", "Σ", "<|", "don't", "THE", "\x0b", "x" * 20]
 TEXTS = st.lists(st.sampled_from(PIECES), max_size=14).map("".join)
@@ -80,6 +80,24 @@ def test_plain_words_go_to_the_model_alone(monkeypatch):
     assert b"HELLO" not in e.at and not any("hello" in t for t in sent)
 
 
+def test_a_worker_lets_go_of_what_another_operator_kept():
+    kept = tokens.chunk_encoder(tokens.WORD_BPE, 77)
+    one = pa.RecordBatch.from_pydict({"text": ["a"]})
+    list(text.slices(iter([one]), "text"))  # the task that asked for it
+    assert tokens.chunk_encoder(tokens.WORD_BPE, 77) is kept
+    list(text.slices(iter([one]), "text"))
+    list(text.slices(iter([one]), "text"))  # a task of an operator that did not
+    assert not text._held
+
+
+def test_executors_collect_when_a_step_settles(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    old = [b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName()]
+    before = sum(b.getCollectionCount() for b in old)
+    settle(spark)
+    assert not old or sum(b.getCollectionCount() for b in old) > before
+
+
 def test_token_counts_rows(spark):
     rows = [(1, "hello world", "x"), (2, None, "y"), (3, "", "z"), (3, "hello world", "x"), (None, "a " * 2000, "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
