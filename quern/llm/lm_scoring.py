@@ -50,6 +50,10 @@ SHARD_TOKENS, MIN_SHARDS, MAX_SHARDS = 1_000_000, 64, 65_536
 TASK_SHARDS = 4
 #: Entries a counting task holds before it sends its blobs.
 HELD = 3_000_000
+#: Text bytes handled at once: a larger slice has fewer distinct n-grams a token, and more lookups a shard.
+SLICE = 8 << 20
+#: Lookups in one stretch of numbers that are made in one call.
+TOGETHER = 16
 #: Low half of a key of two numbers.
 LOW = np.uint64(2**32 - 1)
 HALF = np.uint64(32)
@@ -223,8 +227,17 @@ class Model:
 def _search(values: np.ndarray, start: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each wanted number its place in its own sorted stretch of ``values``, and whether it is there."""
     place, found = start.astype(np.int64), np.zeros(len(start), bool)
-    at = np.flatnonzero(place < end)
-    low, left, want = place[at], end[at].astype(np.int64) - place[at], wanted[at].astype(values.dtype)
+    wanted = wanted.astype(values.dtype)
+    # neighbours in one stretch are looked up together: frequent words have the longest stretches and the most neighbours
+    edge = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (end[1:] != end[:-1]), [True]])) if len(place) else place
+    many = np.flatnonzero(np.diff(edge) >= TOGETHER)
+    one = place < end
+    for a, z in zip(edge[many].tolist(), edge[many + 1].tolist()):
+        lo, hi = int(place[a]), int(end[a])
+        place[a:z] = lo + values[lo:hi].searchsorted(wanted[a:z])
+        one[a:z] = False
+    at = np.flatnonzero(one)
+    low, left, want = place[at], end[at].astype(np.int64) - place[at], wanted[at]
     while len(at):
         half = left >> 1
         middle = low + half
@@ -237,7 +250,7 @@ def _search(values: np.ndarray, start: np.ndarray, end: np.ndarray, wanted: np.n
             place[at[done]] = low[done]
             at, low, left, want = at[some], low[some], left[some], want[some]
     inside = np.flatnonzero(place < end)
-    found[inside] = values[place[inside]] == wanted[inside].astype(values.dtype)
+    found[inside] = values[place[inside]] == wanted[inside]
     return place, found
 
 
@@ -300,7 +313,7 @@ def _count_words(folder: str, shards: int):
             keys.clear(), values.clear()
             yield from send(blobs((k >> np.uint64(64 - shards.bit_length() + 1)).astype(np.int64), k, v))
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             h, ids, n = word_hash_slice(b.column(0))
             keys.append(np.append(h, BEGIN_HASH))
             values.append(np.append(np.bincount(ids, minlength=len(h)), len(n)))
@@ -384,7 +397,7 @@ def _count_trigrams(folder: str):
                 contexts, key, sums = _sum_trigrams(context[at], last[at], c[at])
                 yield s, pack_sorted(contexts[key >> HALF]), pack_values(np.concatenate([(key & LOW).astype(np.int64), sums]))
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             h, ids, _, pairs, _, before = _grams(b.column(0))
             numbers = model.numbers(h)
             share, own = model.spread(numbers)
@@ -533,7 +546,7 @@ def train(df: DataFrame, ws: Workspace, *, text: str = "text") -> str:
 def _backoff(behind: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Total count behind each context (1 at least) and the share its discounts leave; all where nothing follows."""
     total = np.maximum(behind[:, 3], 1)
-    return total, np.where(behind[:, 3] > 0, (behind[:, :3] @ d[1:]) / total, 1.0)
+    return total, np.where(behind[:, 3] > 0, sum(behind[:, k] * d[k + 1] for k in range(3)) / total, 1.0)
 
 
 def score_column(model: Model, column: pa.Array) -> dict[str, np.ndarray]:
@@ -593,7 +606,7 @@ def score(df: DataFrame, folder: str, *, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = open_model(folder)
-        for b in slices(batches, text):
+        for b in slices(batches, text, SLICE):
             got = score_column(model, b.column(at))
             got["train_tokens"] = np.full(b.num_rows, model.manifest["n"], np.int64)
             got["perplexity"] = 10 ** np.minimum(-got["score"] / got["n_tokens"], 300)

@@ -299,3 +299,25 @@ def test_search_finds_each_number_in_its_own_stretch():
     assert Reads.n < 20_000 * 7
     empty = np.zeros(0, np.int64)
     assert [len(x) for x in lm_scoring._search(np.zeros(0, "<u4"), empty, empty, empty)] == [0, 0]
+
+
+def test_neighbours_in_one_stretch_are_looked_up_together():
+    rng = np.random.default_rng(3)
+    sizes = np.array([0, 5000, 1, 0, 40, 3000])
+    ends = np.cumsum(sizes)
+    values = np.concatenate([np.sort(rng.choice(20_000, n, replace=False)) for n in sizes]).astype("<u4")
+    which = np.sort(rng.integers(0, len(sizes), 4000))
+    wanted = rng.integers(0, 20_000, 4000)
+    taken = []
+
+    class Seen(np.ndarray):
+        def __getitem__(self, k):
+            taken.append(len(k) if isinstance(k, np.ndarray) else 0)
+            return super().__getitem__(k)
+
+    place, found = lm_scoring._search(values.view(Seen), (ends - sizes)[which], ends[which], wanted)
+    for w, x, p, f in zip(which.tolist(), wanted.tolist(), place.tolist(), found.tolist()):
+        own = values[ends[w] - sizes[w] : ends[w]]
+        at = int(np.searchsorted(own, x))
+        assert p == ends[w] - sizes[w] + at and f == (at < len(own) and own[at] == x)
+    assert sum(taken) <= 4000  # one gather for what was found; before, one for each step of the search
